@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import emit, fold, joined, text_batches, texts_of
@@ -228,10 +228,10 @@ def keep_known(docs: DataFrame, trees: Trees, least_score: float = LEAST_SCORE,
     return docs.mapInArrow(run, docs.schema)
 
 
-def learning_rows(docs: DataFrame) -> DataFrame:
-    """The rows that the query may learn from."""
-    return docs.where(~held_out("doc_id"))
+def held_out(id_col: str = "doc_id") -> Column:
+    return fold(F.col(id_col), 3) == 1
 
 
-def held_out(id_col: str):
-    return fold(F.col(id_col), 3) == 1
+def learning_rows(docs: DataFrame) -> DataFrame:
+    """The rows that the query may learn from."""
+    return docs.where(~F.coalesce(held_out(), F.lit(False)))

@@ -1,6 +1,9 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from .common import WORD
+from .jaccard_join import THRESHOLD, WORDS
 from .secret_scans import BASE_RULES, RULES
+from .topk_search import K
 from .url_filters import RULES as URL_RULES
 
 
@@ -12,7 +15,7 @@ def _spans() -> str:
         value = "m" if not r.group else f"regexp_extract(m, '{pattern}', {r.group})"
         parts.append(
             f"""SELECT doc_id, '{r.kind}' AS kind, {place} AS place, s AS a, s + length(m) AS b, {value} AS v FROM (
- SELECT doc_id, ms[i] AS m, list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], x -> length(x))), 0) AS s FROM (
+ SELECT doc_id, ms[i] AS m, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM (
   SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (
    SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d))) WHERE length({value}) >= {r.least}"""
         )
@@ -35,4 +38,22 @@ f AS (SELECT page_id, r_host || r_path AS rule, verdict, row_number() OVER (PART
  FROM p JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
 SELECT p.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id AND f.k = 1"""
 
-ORACLES = {"op1_secret_scans": OP1, "op9_url_filters": OP9}
+_T = THRESHOLD
+OP4 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(ws) - {WORDS} + 2), lambda i: array_to_string(ws[i:i + {WORDS} - 1], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= {_T} * (len(sa.sh) + len(sb.sh) - n)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS r FROM both_ways UNION SELECT both_ways.b, reach.r FROM reach JOIN both_ways ON both_ways.a = reach.doc_id)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(min(r), s.doc_id) AS component_id FROM s LEFT JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, sh"""
+
+OP7 = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+ FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}"""
+
+ORACLES = {"op1_secret_scans": OP1, "op4_jaccard_join": OP4, "op7_topk_search": OP7, "op9_url_filters": OP9}

@@ -10,6 +10,7 @@ from re import _parser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,10 +200,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return src.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,value:string>>")
 
 
-def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with every secret in the text replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    All rows and columns stay; null and clean texts stay as they are.
+    All rows and columns stay; null and clean texts stay as they are. length_col, if given, is set to the new length
+    of a text that changed.
     """
     schema = docs.schema
 
@@ -220,7 +222,19 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
                 out.append(t if not spans else "".join([*parts, t[open_:]]))
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, schema)
+    if not length_col:
+        return docs.mapInArrow(run, schema)
+    old = docs.withColumn("veriloom_len", F.length(text_col))
+
+    def with_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            at = batch.schema.get_field_index(length_col)
+            new = pa.compute.utf8_length(batch.column(batch.schema.get_field_index(text_col)))
+            same = pa.compute.coalesce(pa.compute.equal(new, batch.column(batch.schema.get_field_index("veriloom_len"))), pa.scalar(True))
+            length = pa.compute.if_else(same, batch.column(at), new.cast(batch.schema.field(at).type))
+            yield batch.set_column(at, batch.schema.field(at), length)
+
+    return old.mapInArrow(with_length, old.schema).select(*docs.columns)
 
 
 def secret_digest(found: DataFrame, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
