@@ -11,7 +11,6 @@ PREFIX_DIGITS = 8
 BROADCAST_RULES = 100_000
 #: Fixed rules of the query: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-RULE_SCHEMA = "verdict string, host string, path string"
 
 
 def host_of(url: Column) -> Column:
@@ -72,4 +71,4 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
 
 
 def fixed_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE_SCHEMA)
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES) + " AS t(verdict, host, path)")
