@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import emit, text_batches, texts_of, written
@@ -148,23 +148,58 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of sets that link: exact sizes of intersection and union. Sets are taken from the texts of the documents in pairs only."""
-    pairs = written(pairs, "pairs")
+def _with_sets(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """pairs with the sets x of a and y of b, taken from the texts of the documents in pairs only."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets = written(_sets(docs.join(_maybe_broadcast(wanted), "doc_id", "left_semi"), None, words, keep_tokens=True).dropDuplicates(["doc_id", "fingerprint"]).select("doc_id", "hashes"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    return pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of sets that link: exact sizes of intersection and union."""
+    both = _with_sets(written(pairs, "pairs"), docs, words)
     common = F.size(F.array_intersect("x", "y"))
     return written(both.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "linked")
 
 
+def _by_difference(rest: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Candidate pairs of different components among the members (low, doc_id, n_shingles, root) that share an entry's least member.
+
+    With c the least member and D(x) the tokens in just one of x and c, two sets differ in the tokens that are in just
+    one of D(x) and D(y). Linked sets x, y of which one doesn't link with c share a token of D(x) and D(y): else they
+    differed in |D(x)| + |D(y)| tokens, and with k = (100-t)/(100+t) both |D(x)| + |D(y)| <= k (|x| + |y|) and
+    |D(y)| > k (|y| + |c|), so |D(x)| < k (|x| - |c|) <= k |D(x)|. They share at least |D(x)| - H tokens if H is the
+    most in which a set of x's size differs from a linked one; so each set shows the first H + 1 tokens of D(x), those
+    that c lacks before those that x lacks, and linked sets meet in one. Edits of one text that many documents copy
+    are mostly its own, so a large group of near copies that don't link isn't paired.
+    """
+    least = written(rest.select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n_shingles", "root").distinct(), "least")
+    both = _with_sets(least, docs, words)
+    added, gone = F.array_except("y", "x"), F.array_except("x", "y")
+    most = F.floor((100 - threshold) * (F.col("n_shingles") + F.floor(F.col("n_shingles") * 100 / threshold)) / (100 + threshold)).cast("int")
+    shown = both.select("a", "b", "n_shingles", "root", (F.size(added) + F.size(gone)).alias("away"), F.slice(F.concat(F.array_sort(added), F.array_sort(gone)), F.lit(1), most + 1).alias("tokens"))
+    shown = written(shown.select("a", "b", "n_shingles", "root", "away", F.explode("tokens").alias("token")), "shown")
+    # Tokens of one component alone bring nothing.
+    split = shown.groupBy("a", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("a", "token")
+    shown = written(shown.join(split, ["a", "token"]), "met")
+    x, y = (shown.select("a", "token", *[F.col(c).alias(f"{c}_{k}") for c in ("b", "root", "n_shingles", "away")]) for k in "xy")
+    near = (100 + threshold) * F.abs(F.col("away_x") - F.col("away_y")) <= (100 - threshold) * (F.col("n_shingles_x") + F.col("n_shingles_y"))
+    cross = x.join(y, ["a", "token"]).where((F.col("root_x") != F.col("root_y")) & (F.col("b_x") < F.col("b_y")) & near & _fits(F.col("n_shingles_x"), F.col("n_shingles_y"), threshold))
+    return cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
+
+
+def _fits(x: Column, y: Column, threshold: int) -> Column:
+    """Sets of these sizes can link."""
+    return (100 * x >= threshold * y) & (100 * y >= threshold * x)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose shingle sets link, directly or over others.
 
     Sets are collapsed to one representative (the least doc_id) first, by partial aggregates. Representatives that share
     an index entry are candidates. An entry's members are first compared with its least member only; where that leaves
-    its members in more than one component, the members of different components are compared too. So members of a large
-    group aren't all paired, and no link between components is lost.
+    its members in more than one component, those of different components meet by what sets them apart from the least
+    member (_by_difference). So members of a large group aren't all paired, and no link between components is lost.
 
     Columns: doc_id, n_shingles, component_id (the least doc_id reachable), representative (of equal sets). A text with
     fewer words than a shingle is one shingle; one without words, or null, has an empty set and links with nothing.
@@ -183,9 +218,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     shared = written(entries.groupBy("entry").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("entry", "low"), "shared")
     members = written(entries.join(_maybe_broadcast(shared), "entry").select("entry", "low", "doc_id", "n_shingles").distinct(), "members")
     sizes = members.select(F.col("doc_id").alias("low"), F.col("n_shingles").alias("low_n")).distinct()
-    fits = lambda x, y: (100 * x >= threshold * y) & (100 * y >= threshold * x)
     star = members.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n_shingles").distinct()
-    star = star.join(sizes, star["a"] == sizes["low"]).where(fits(F.col("n_shingles"), F.col("low_n"))).select("a", "b")
+    star = star.join(sizes, star["a"] == sizes["low"]).where(_fits(F.col("n_shingles"), F.col("low_n"), threshold)).select("a", "b")
     links = _verified(star, docs, words, threshold)
     rooted = components(links)
 
@@ -194,9 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     placed = members.join(_maybe_broadcast(rooted), members["doc_id"] == rooted["node"], "left").select("entry", "low", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     split = placed.groupBy("entry").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1 and n > 2").select("entry")
     rest = written(placed.where("doc_id > low").join(split, "entry"), "rest")
-    x, y = (rest.select("entry", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "root", "n_shingles")]) for k in "xy")
-    cross = x.join(y, "entry").where((F.col("root_x") != F.col("root_y")) & (F.col("doc_id_x") < F.col("doc_id_y")) & fits(F.col("n_shingles_x"), F.col("n_shingles_y")))
-    more = _verified(cross.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct(), docs, words, threshold)
+    more = _verified(_by_difference(rest, docs, words, threshold), docs, words, threshold)
     if more.limit(1).count():
         rooted = written(components(rooted.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "rooted")
 
