@@ -23,6 +23,8 @@ BAND_RATIO = 1.3
 CACHE_WORDS = 300_000
 #: Tables of at most so many keys are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: 64-bit words in a bitmap of the tokens that set a member apart.
+BITMAP_WORDS = 8
 #: Estimated cost of a candidate that an index entry brings, in index entries.
 CANDIDATE_COST = 20.0
 #: Share of the tokens of an unrelated set that a set is assumed to have too.
@@ -171,19 +173,24 @@ def _by_difference(rest: DataFrame, docs: DataFrame, words: int, threshold: int)
     |D(y)| > k (|y| + |c|), so |D(x)| < k (|x| - |c|) <= k |D(x)|. They share at least |D(x)| - H tokens if H is the
     most in which a set of x's size differs from a linked one; so each set shows the first H + 1 tokens of D(x), those
     that c lacks before those that x lacks, and linked sets meet in one. Edits of one text that many documents copy
-    are mostly its own, so a large group of near copies that don't link isn't paired.
+    are mostly its own, so few of a large group of near copies meet. Of those that meet, a bitmap of D tells most that
+    can't link: two bitmaps differ in no more bits than the sets in tokens.
     """
     least = written(rest.select(F.col("low").alias("a"), F.col("doc_id").alias("b"), "n_shingles", "root").distinct(), "least")
     both = _with_sets(least, docs, words)
     added, gone = F.array_except("y", "x"), F.array_except("x", "y")
     most = F.floor((100 - threshold) * (F.col("n_shingles") + F.floor(F.col("n_shingles") * 100 / threshold)) / (100 + threshold)).cast("int")
-    shown = both.select("a", "b", "n_shingles", "root", (F.size(added) + F.size(gone)).alias("away"), F.slice(F.concat(F.array_sort(added), F.array_sort(gone)), F.lit(1), most + 1).alias("tokens"))
-    shown = written(shown.select("a", "b", "n_shingles", "root", "away", F.explode("tokens").alias("token")), "shown")
+    apart = both.select("a", "b", "n_shingles", "root", most.alias("most"), F.concat(F.array_sort(added), F.array_sort(gone)).alias("d"))
+    bits = [F.expr(f"aggregate(d, 0L, (m, t) -> IF(pmod(t, {BITMAP_WORDS}) = {k}, m | shiftleft(1L, CAST(pmod(t div {BITMAP_WORDS}, 64) AS INT)), m)) AS bits{k}") for k in range(BITMAP_WORDS)]
+    own = ["b", "root", "n_shingles", *[f"bits{k}" for k in range(BITMAP_WORDS)]]
+    shown = apart.select("a", "b", "n_shingles", "root", *bits, F.slice("d", F.lit(1), F.col("most") + 1).alias("tokens"))
+    shown = written(shown.select("a", *own, F.explode("tokens").alias("token")), "shown")
     # Tokens of one component alone bring nothing.
     split = shown.groupBy("a", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("a", "token")
     shown = written(shown.join(split, ["a", "token"]), "met")
-    x, y = (shown.select("a", "token", *[F.col(c).alias(f"{c}_{k}") for c in ("b", "root", "n_shingles", "away")]) for k in "xy")
-    near = (100 + threshold) * F.abs(F.col("away_x") - F.col("away_y")) <= (100 - threshold) * (F.col("n_shingles_x") + F.col("n_shingles_y"))
+    x, y = (shown.select("a", "token", *[F.col(c).alias(f"{c}_{k}") for c in own]) for k in "xy")
+    differ = sum((F.bit_count(F.col(f"bits{k}_x").bitwiseXOR(F.col(f"bits{k}_y"))) for k in range(1, BITMAP_WORDS)), F.bit_count(F.col("bits0_x").bitwiseXOR(F.col("bits0_y"))))
+    near = (100 + threshold) * differ <= (100 - threshold) * (F.col("n_shingles_x") + F.col("n_shingles_y"))
     cross = x.join(y, ["a", "token"]).where((F.col("root_x") != F.col("root_y")) & (F.col("b_x") < F.col("b_y")) & near & _fits(F.col("n_shingles_x"), F.col("n_shingles_y"), threshold))
     return cross.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
 
