@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows and bytes of an Arrow batch at most.
+ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 _own_folder: list[str] = []
 
 
@@ -51,7 +54,14 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded size: rows can hold long texts, and a task holds a batch in the JVM and in Python."""
+    for key, value in ARROW_BOUNDS.items():
+        df.sparkSession.conf.set(key, value)
+    return df.mapInArrow(run, schema)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a column's bytes stay near a bound; a longer text has a batch of its own."""
     for batch in batches:
         n = batch.num_rows

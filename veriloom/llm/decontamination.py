@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, joined, text_batches, texts_of
+from .common import emit, in_batches, joined, text_batches, texts_of
 
 #: Bytes in a q-gram: it fills a 64-bit word.
 Q = 8
@@ -208,12 +208,12 @@ def _scan(src: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(shared.value)
-        for batch in text_batches(batches, "text", 1 << 20):
+        for batch in text_batches(batches, "text"):
             ids = batch.column(0).to_pylist()
             got = passages.find([folded(t) for t in texts_of(batch, "text")])
             yield emit(schema, doc_id=[ids[d] for d, *_ in got], item_id=[x[1] for x in got], start=[x[2] for x in got], end=[x[3] for x in got], edits=[x[4] for x in got])
 
-    return src.mapInArrow(run, _OUT)
+    return in_batches(src, run, _OUT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -229,9 +229,9 @@ def _without(docs: DataFrame, items: list[tuple[int, bytes]], text_col: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(shared.value)
-        for batch in text_batches(batches, text_col, 1 << 20):
+        for batch in text_batches(batches, text_col):
             keep = np.ones(batch.num_rows, bool)
             keep[[d for d, *_ in passages.find([folded(t) for t in texts_of(batch, text_col)])]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

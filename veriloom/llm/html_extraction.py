@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, text_batches, texts_of
+from .common import emit, in_batches, text_batches, texts_of
 
 # HTML's element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,4 +229,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             texts = [main_text(h) for h in texts_of(batch, "html")]
             yield emit(schema, page_id=batch.column(0), url=batch.column(1).cast(pa.string()), text=texts, n_chars=[len(t) for t in texts])
 
-    return src.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(src, run, "page_id long, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import emit, text_batches, texts_of, written
+from .common import emit, in_batches, text_batches, texts_of, written
 from .components import components
 
 #: Two documents link from this share of common shingles on, in hundredths.
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, bands: Bands | None, words: int, keep_tokens: bool =
             flat = pa.array(np.concatenate(hashes).view(np.int64))
             yield emit(schema, doc_id=batch.column(0), n_shingles=[len(x) for x in sets], fingerprint=[xxhash.xxh3_128_digest(x.tobytes()) for x in sets], hashes=pa.ListArray.from_arrays(pa.array(offsets), flat))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, hashes array<long>")
+    return in_batches(docs, run, "doc_id long, n_shingles long, fingerprint binary, hashes array<long>")
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:

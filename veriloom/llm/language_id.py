@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, fold, joined, text_batches, texts_of
+from .common import emit, fold, in_batches, joined, text_batches, texts_of
 
 #: Bytes of context at most.
 ORDER = 3
 #: A language learns from about so many documents at most, picked by the hash of their id.
 DOCS_PER_LANG = 1500
 #: Contexts of each length that the trees keep at most, the most frequent ones.
-CONTEXTS = 12_000
+CONTEXTS = 6_000
 #: Documents that score lower are rejected by keep_known.
 LEAST_SCORE = 0.5
 
@@ -32,7 +32,8 @@ class Trees:
     """All languages' trees in one shape.
 
     symbol: each byte's symbol; the last symbol stands for all bytes that training never had. step[k]: the state
-    after k+1 bytes of context from the state of k bytes and the next byte, falling back to the longest context kept.
+    after k+1 bytes of context from the state of k bytes and the next byte, falling back to the longest context kept;
+    states are numbered by the length of their context, and step[k] has those of k bytes at most.
     bits[lang, state, symbol]: the code length.
     """
 
@@ -94,7 +95,7 @@ def _grams(data: DataFrame) -> DataFrame:
                 got, n = np.unique(gram[np.cumsum(inside)[ORDER:-1] > 0], return_counts=True)
                 yield emit(schema, lang=[lang] * len(got), gram=got, n=n)
 
-    return data.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return in_batches(data, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def build_trees(langs: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Trees:
@@ -162,11 +163,10 @@ def build_trees(langs: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Trees:
     code_of = {i: (k, c) for k in range(ORDER + 1) for c, i in ids[k].items()}
     step = []
     for k in range(ORDER):
-        table = np.zeros((total, width), np.int32)
-        for s0 in range(total):
+        upto = sum(len(ids[length]) for length in range(k + 1))
+        table = np.zeros((upto, width), np.int32)
+        for s0 in range(upto):
             length, code = code_of[s0]
-            if length > k:
-                continue
             if length:
                 table[s0] = table[back[s0]]
             # From a state of this length, one more symbol: the longer context where it is kept, else what the shorter one gives.
@@ -208,11 +208,11 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(**shared.value)
-        for batch in text_batches(batches, "text", 1 << 20):
+        for batch in text_batches(batches, "text"):
             lang, score, bits = model.predict(texts_of(batch, "text"))
             yield emit(schema, doc_id=batch.column(0), lang_pred=lang, score=score, bits_per_byte=bits)
 
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return in_batches(src, run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_known(docs: DataFrame, trees: Trees, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
@@ -221,11 +221,11 @@ def keep_known(docs: DataFrame, trees: Trees, least_score: float = LEAST_SCORE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(**shared.value)
-        for batch in text_batches(batches, text_col, 1 << 20):
+        for batch in text_batches(batches, text_col):
             lang, score, _ = model.predict(texts_of(batch, text_col))
             yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

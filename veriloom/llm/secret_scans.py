@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, joined, text_batches, texts_of
+from .common import emit, in_batches, joined, text_batches, texts_of
 
 #: A literal part of a rule is spelled out in so many strings at most; past that it is cut there.
 MOST_STRINGS = 16
@@ -197,7 +197,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
             spans = [[{"kind": rules[k].kind, "start": a, "end": b, "value": t[a:b]} for a, k, b in s] for t, s in zip(texts, scanner.scan(texts), strict=True)]
             yield emit(schema, doc_id=batch.column(0), spans=spans)
 
-    return src.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,value:string>>")
+    return in_batches(src, run, "doc_id long, spans array<struct<kind:string,start:long,end:long,value:string>>")
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -223,7 +223,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
     if not length_col:
-        return docs.mapInArrow(run, schema)
+        return in_batches(docs, run, schema)
     old = docs.withColumn("veriloom_len", F.length(text_col))
 
     def with_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
             length = pa.compute.if_else(same, batch.column(at), new.cast(batch.schema.field(at).type))
             yield batch.set_column(at, batch.schema.field(at), length)
 
-    return old.mapInArrow(with_length, old.schema).select(*docs.columns)
+    return in_batches(old, with_length, old.schema).select(*docs.columns)
 
 
 def secret_digest(found: DataFrame, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:

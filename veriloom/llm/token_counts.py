@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, range_sums, text_batches, texts_of
+from .common import emit, in_batches, range_sums, text_batches, texts_of
 
 MARK = "▁"
 LETTERS = r"[^\W\d_]"
@@ -188,10 +188,10 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
-        for batch in text_batches(batches, "text", 2 << 20):
+        for batch in text_batches(batches, "text"):
             count = count or _counter(model_file)
             texts = texts_of(batch, "text")
             n = count(texts).astype(np.int64)
             yield emit(schema, doc_id=batch.column(0), n_bytes=[len(t.encode()) for t in texts], n_tokens=n, over_limit=n > limit)
 
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(src, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

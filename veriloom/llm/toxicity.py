@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, fold, text_batches, texts_of
+from .common import emit, fold, in_batches, text_batches, texts_of
 
 #: Positive and unlabelled documents that training uses at most, about; picked by the hash of the id.
 POSITIVES, UNLABELLED = 4000, 16000
@@ -102,7 +102,7 @@ def _presence(sample: DataFrame) -> DataFrame:
                     counts.setdefault(word, [0, 0])[0 if positive else 1] += 1
             yield emit(schema, word=list(counts), p=[x for x, _ in counts.values()], u=[x for _, x in counts.values()])
 
-    return sample.mapInArrow(run, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    return in_batches(sample, run, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
 def _features(sample: DataFrame, words: list[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def _features(sample: DataFrame, words: list[str]) -> DataFrame:
             ids = [sorted(place[w] for w in place.keys() & distinct_words(t)) for t in texts_of(batch, "text")]
             yield emit(schema, positive=batch.column(1), ids=ids)
 
-    return sample.mapInArrow(run, "positive boolean, ids array<int>")
+    return in_batches(sample, run, "positive boolean, ids array<int>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = own.scores(texts_of(batch, "text"))
             yield emit(schema, doc_id=batch.column(0), score=s, predicted=(s >= 0.5).astype(np.int32))
 
-    return src.mapInArrow(run, "doc_id long, score double, predicted int")
+    return in_batches(src, run, "doc_id long, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id"):
