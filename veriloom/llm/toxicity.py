@@ -146,6 +146,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     place = F.pmod(F.xxhash64("doc_id", F.lit("pu")), F.lit(1 << 20))
     chosen = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     toxic = known.where("toxic = 1").select("doc_id").where(place < F.lit(int((1 << 20) * min(1.0, positives / n["toxic"])) + 1))
+    # About `positives` ids, so the texts needn't be shuffled; beyond twice that the join may shuffle.
+    toxic = F.broadcast(toxic) if toxic.count() <= 2 * positives else toxic
     chosen_p = chosen.join(toxic, "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
     others = chosen.where(place < F.lit(int((1 << 20) * min(1.0, unlabelled / max(total, 1))) + 1))
     chosen_u = others.select("text", F.lit(False).alias("positive"))
