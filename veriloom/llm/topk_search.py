@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Entries in a page of a tree; vectors in a tree, about; queries searched together.
-PAGE, TREE, BLOCK = 64, 4096, 1024
+PAGE, TREE, BLOCK = 64, 4096, 4096
 #: Pivots that deal the vectors to trees, and vectors that give each query a first bound; both are picked by hash.
 PIVOTS, SAMPLE = 32, 1024
 K = 5
+#: Below every score; its square root of a distance is finite.
+NO_FLOOR = -(2**62)
 
 
 def quantized(embedding: Column, scale: int = 256) -> Column:
@@ -43,82 +45,101 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Pages of a bulk-loaded M-tree. A page has a pivot; each entry keeps its distance to it, and an inner page's entries (pages) their covering radii."""
+    """Pages of a bulk-loaded M-tree. A page has a pivot, the place of one of its vectors; each entry keeps its distance to it, and an inner page's entries (pages) their covering radii."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
         self.pages: list[dict] = []
-        self._build(np.arange(len(ids)), ids, points, points[0] if len(ids) else None)
+        self._build(np.arange(len(ids)), ids, points, 0)
 
-    def _build(self, own: np.ndarray, ids: np.ndarray, points: np.ndarray, pivot: np.ndarray) -> int:
+    def _build(self, own: np.ndarray, ids: np.ndarray, points: np.ndarray, pivot: int) -> int:
         page, k = {"pivot": pivot}, len(self.pages)
         self.pages.append(page)
         if len(own) <= PAGE:
             own = own[np.argsort(ids[own], kind="stable")]
-            page |= {"leaf": True, "entries": own, "away": distances(points[own], pivot)}
+            page |= {"leaf": True, "entries": own, "away": distances(points[own], points[pivot]), "radius": np.zeros(len(own))}
             return k
-        page |= {"leaf": False, "entries": [], "radius": [], "away": []}
-        for part, center in self._parts(own, points):
-            child = self._build(part, ids, points, center)
-            page["entries"].append(child)
-            page["radius"].append(float(distances(points[part], center).max()))
-            page["away"].append(float(distances(center, pivot)))
+        parts = self._parts(own, points)
+        page |= {
+            "leaf": False,
+            "entries": np.array([self._build(part, ids, points, center) for part, center in parts]),
+            "radius": np.array([distances(points[part], points[center]).max() for part, center in parts]),
+            "away": np.array([distances(points[center], points[pivot]) for _, center in parts]),
+        }
         return k
 
     @staticmethod
-    def _parts(own: np.ndarray, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _parts(own: np.ndarray, points: np.ndarray) -> list[tuple[np.ndarray, int]]:
         """Up to PAGE parts around spread-out pivots; vectors that no pivot tells apart are cut evenly."""
         n = min(PAGE, -(-len(own) // (PAGE // 2)))
         x = points[own]
-        pivots, far = [0], distances(x, x[0])
+        pivots, far, near = [0], distances(x, x[0]), np.zeros(len(own), np.int64)
         while len(pivots) < n and far.max() > 0:
             pivots.append(int(far.argmax()))
-            far = np.minimum(far, distances(x, x[pivots[-1]]))
-        near = np.stack([distances(x, x[p]) for p in pivots]).argmin(axis=0)
-        groups = [(own[near == g], x[p]) for g, p in enumerate(pivots)]
-        groups = [(g, c) for g, c in groups if len(g)]
+            away = distances(x, x[pivots[-1]])
+            near[away < far] = len(pivots) - 1
+            far = np.minimum(far, away)
+        groups = [(own[near == g], int(own[p])) for g, p in enumerate(pivots)]
         if max(len(g) for g, _ in groups) == len(own):
-            return [(g, points[g[0]]) for g in np.array_split(own, n)]
+            return [(g, int(g[0])) for g in np.array_split(own, n)]
         return groups
 
 
-def search(tree: Tree, ids: np.ndarray, raw: np.ndarray, points: np.ndarray, query: np.ndarray, skip: int | None, k: int, floor_: int | None, most: float) -> list[tuple[int, int]]:
-    """The k best (score, id), ties to the smaller id, among the tree's vectors; those below floor_ may be left out.
+def search(tree: Tree, ids: np.ndarray, raw: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, k: int, floors: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of the tree's vectors for each query of a block, as places in the block, vector ids and scores; scores below a query's floor may be left out.
 
-    Best first over pages by a lower bound of the distance. A page's or vector's distance to the query isn't computed
-    where the stored distance to the parent's pivot and the query's distance to that pivot already rule it out.
+    Best first: the page with the least lower bound of any query's distance comes next, for those queries that still need
+    it. A page's or vector's distance to a query isn't computed where the stored distance to the parent's pivot and the
+    query's distance to that pivot rule it out for all of them. Ties go to the smaller id; a query's own id is left out.
     """
-    q = np.append(query.astype(np.float64), 0.0)
-    norm = float((q * q).sum())
+    norm = (asked.astype(np.float64) ** 2).sum(axis=1)
     # A score and its distance: d^2 = norm + most - 2 score. The slack covers rounding.
     slack = 1e-6 * (np.sqrt(norm + most) + 1)
-    reach = lambda s: np.sqrt(max(norm + most - 2.0 * s, 0.0)) + slack
-    best: list[tuple[int, int]] = []
-    limit = np.inf if floor_ is None else reach(floor_)
-    heap = [(0.0, 0, float(distances(tree.pages[0]["pivot"], q)))]
+    away_of = lambda at, score: np.sqrt(np.maximum((norm[at] + most)[:, None] - 2.0 * score, 0))
+    best_id = np.full((len(asked), k), np.iinfo(np.int64).max)
+    best = np.full((len(asked), k), np.iinfo(np.int64).min)
+    least = floors.copy()
+    reach = away_of(np.arange(len(asked)), least[:, None].astype(np.float64))[:, 0] + slack
+    every = np.arange(len(asked))
+    root = tree.pages[0]
+    heap = [(0.0, 0, every, np.zeros(len(asked)), away_of(every, asked @ raw[root["pivot"]][:, None])[:, 0])]
     while heap:
-        bound, at, d_pivot = heapq.heappop(heap)
-        if bound > limit:
-            break
+        _, at, live, bound, d_pivot = heapq.heappop(heap)
         page = tree.pages[at]
-        away = np.asarray(page["away"])
-        if page["leaf"]:
-            own = page["entries"][np.abs(away - d_pivot) <= limit]
-            if not len(own):
-                continue
-            scores = raw[own] @ query
-            best += [(int(s), int(v)) for s, v in zip(scores, ids[own], strict=True) if v != skip]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-            if len(best) == k:
-                limit = min(limit, reach(best[-1][0]))
+        needed = bound <= reach[live]
+        live, bound, d_pivot = live[needed], bound[needed], d_pivot[needed]
+        if not len(live):
             continue
-        radius = np.asarray(page["radius"])
-        for e in np.flatnonzero(np.abs(away - d_pivot) - radius <= limit).tolist():
-            child = page["entries"][e]
-            d = float(distances(tree.pages[child]["pivot"], q))
-            if d - radius[e] <= limit:
-                heapq.heappush(heap, (max(bound, d - radius[e]), child, d))
-    return best
+        low = np.abs(d_pivot[:, None] - page["away"]) - page["radius"]
+        open_ = low <= reach[live][:, None]
+        some, entries = open_.any(axis=1), np.flatnonzero(open_.any(axis=0))
+        if not len(entries):
+            continue
+        live, bound, low, open_ = live[some], bound[some], low[some][:, entries], open_[some][:, entries]
+        own = page["entries"][entries] if page["leaf"] else np.array([tree.pages[e]["pivot"] for e in page["entries"][entries]])
+        scores = asked[live] @ raw[own].T
+        if not page["leaf"]:
+            away = away_of(live, scores)
+            low = np.maximum(np.maximum(low, away - page["radius"][entries]), bound[:, None])
+            open_ &= low <= reach[live][:, None]
+            for e, child in enumerate(page["entries"][entries].tolist()):
+                go = np.flatnonzero(open_[:, e])
+                if len(go):
+                    heapq.heappush(heap, (float(low[go, e].min()), child, live[go], low[go, e], away[go, e]))
+            continue
+        scores, found = scores.astype(np.int64), ids[own]
+        fits = (scores >= least[live][:, None]) & (found != asked_ids[live][:, None])
+        better = np.flatnonzero(fits.any(axis=1))
+        if not len(better):
+            continue
+        rows, fits = live[better], fits[better]
+        both = np.concatenate([best[rows], np.where(fits, scores[better], np.iinfo(np.int64).min)], axis=1)
+        both_id = np.concatenate([best_id[rows], np.where(fits, found, np.iinfo(np.int64).max)], axis=1)
+        first = np.lexsort((both_id, -1 - both), axis=-1)[:, :k]  # -1 - x falls as x rises and can't overflow
+        best[rows], best_id[rows] = np.take_along_axis(both, first, axis=1), np.take_along_axis(both_id, first, axis=1)
+        least[rows] = np.maximum(least[rows], best[rows, -1])
+        reach[rows] = away_of(rows, least[rows][:, None].astype(np.float64))[:, 0] + slack[rows]
+    query, rank = np.nonzero(best > np.iinfo(np.int64).min)
+    return query, best_id[query, rank], best[query, rank]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", component_col: str = "x") -> DataFrame:
@@ -166,12 +187,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     def first_bound(parts):
         ids, xs = sample.value
         for pdf in parts:
-            floors = []
-            for q, x in zip(pdf["id"], pdf["x"], strict=True):
-                same = [k2 for k2, y in enumerate(xs) if len(y) == len(x) and ids[k2] != q]
-                scores = np.sort(np.stack([xs[k2] for k2 in same]) @ np.asarray(x, np.int64)) if same else []
-                floors.append(int(scores[-k]) if len(scores) >= k else None)
-            yield pdf.assign(floor=pd.array(floors, dtype="Int64"))
+            floors = pd.Series(pd.NA, index=pdf.index, dtype="Int64")
+            dims = pdf["x"].map(len)
+            for dim in dims.unique():
+                own = pdf[dims == dim]
+                same = [i for i, y in enumerate(xs) if len(y) == dim]
+                if dim and len(same) > k:  # one may be the query itself
+                    scores = matrix(own["x"]) @ np.stack([xs[i] for i in same]).T
+                    scores[own["id"].to_numpy(np.int64)[:, None] == ids[same]] = np.iinfo(np.int64).min
+                    floors[own.index] = np.partition(scores, -k, axis=1)[:, -k]
+            yield pdf.assign(floor=floors)
 
     bounded = written(asked.mapInPandas(first_bound, "id long, x array<long>, floor long").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")), "bounded")
     each = written(placed.groupBy("dim", "cell", "part").agg(F.count("*").alias("n")), "trees").select("dim", "cell", "part")
@@ -185,15 +210,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
         ids, raw = vec["id"].to_numpy(np.int64), matrix(vec["x"])
         points = lifted(raw, most)
         tree = Tree(ids, points)
+        asked, floors = matrix(ask["x"]), ask["floor"].fillna(NO_FLOOR).to_numpy(np.int64)
         # Whole numbers below 2^53 multiply exactly as doubles.
-        exact = raw.astype(np.float64) if len(raw) and float(np.abs(raw).max()) ** 2 * raw.shape[1] < 2**52 else raw
-        rows = []
-        for q, x, low in zip(ask["id"], ask["x"], ask["floor"], strict=True):
-            x = np.asarray(x, np.int64)
-            fits = exact is not raw and float(np.abs(x).max()) * float(np.abs(raw).max()) * len(x) < 2**52
-            got = search(tree, ids, exact if fits else raw, points, x.astype(np.float64) if fits else x, int(q), k, None if pd.isna(low) else int(low), most)
-            rows += [(int(q), v, s) for s, v in got]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+        if float(np.abs(raw).max()) * float(np.abs(asked).max()) * raw.shape[1] < 2**52:
+            raw, asked = raw.astype(np.float64), asked.astype(np.float64)
+        asked_ids = ask["id"].to_numpy(np.int64)
+        at, found, score = search(tree, ids, raw, asked, asked_ids, k, floors, most)
+        return pd.DataFrame({"query_id": asked_ids[at], "vec_id": found, "score": score})
 
     keys = ["dim", "cell", "part", "block"]
     found = left.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
