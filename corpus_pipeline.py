@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from veriloom.llm import decontamination, jaccard_join, language_id, mixing, secret_scans
 from veriloom.llm.common import table, written
 
+#: Near-duplicates of a corpus: words in a shingle, and hundredths of common shingles from which on documents link.
+COPY_WORDS, COPY_THRESHOLD = 5, 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose best language scores too low; languages are learned from the documents' own labels."""
@@ -18,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each near-duplicate class."""
-    return jaccard_join.keep_first(docs)
+    return jaccard_join.keep_first(docs, words=COPY_WORDS, threshold=COPY_THRESHOLD)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

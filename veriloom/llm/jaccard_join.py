@@ -245,9 +245,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     return out.select("doc_id", "n_shingles", F.when(known, F.coalesce("root", "rep", "doc_id")).alias("component_id"), F.when(known, F.coalesce("rep", "doc_id")).alias("representative"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, the one with the least doc_id; rows with a null id stay."""
-    classes = near_duplicates(docs)
+def keep_first(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """docs with one document of each class at these settings, the one with the least doc_id; rows with a null id stay."""
+    classes = near_duplicates(docs, words, threshold)
     drop = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = docs.join(_maybe_broadcast(drop), "doc_id", "left_anti").select(*docs.columns)
     # Repeated rows of one id: the first by text stays.
