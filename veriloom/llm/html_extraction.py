@@ -22,12 +22,17 @@ BLOCK = set(
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("ul ol dl table tbody thead tfoot select div article section main body".split())
 # Parts that aren't the article, by element, role and word of a class or id.
-ASIDE = set("nav footer aside form button select option menu dialog fieldset search head".split())
+ASIDE = set("nav footer aside button select option menu dialog search head".split())
+#: Like a listed role or word, these mark a part only if it isn't the one with most of the page's prose.
+ASIDE_MAYBE = set("form fieldset".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar cookie cookies consent gdpr notice notification popup modal overlay toolbar newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond skip pagination pager widget".split()
 )
 ROOT_TAGS = ("article", "main")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements that can hold an article.
+HOLDERS = set("body div article main section td form center".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -37,36 +42,84 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 THRESHOLD = 0.8
 #: Half the width of the smoothing window over the page's blocks.
 SPAN = 1
+#: Prior of a block inside an article or main element, and outside if the page has one.
+INSIDE, OUTSIDE = 2.0, 0.5
+#: The content's element is the deepest with this share of it.
+MOST = 0.9
 
 
 class Page:
-    """A page's text blocks in order: text, path, whether it stands aside, and the enclosing elements."""
+    """A page's text blocks in order, without the parts that stand aside: text, path, and the enclosing element.
+
+    A block's path has the block elements only, and tells blocks that are links from others.
+    """
 
     def __init__(self, html: str):
         self.text: list[str] = []
         self.path: list[int] = []
-        self.aside: list[bool] = []
         self.inside: list[int] = []
         self.parent = [0]
         self.root_tag = [False]
         self.tag_of = ["body"]
+        # Of each element: None, "" if it stands aside for sure, or the marks for which it may.
+        self._mark: list[str | None] = [None]
         self._paths: dict[tuple[int, str], int] = {}
-        # Open elements: tag, path, whether aside, element.
-        self._open: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+        # Open elements: tag, path, element, whether in a link.
+        self._open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
         self._count: dict[str, int] = {}
-        self._parts: list[str] = []
+        self._parts: list[tuple[str, int, bool]] = []
+        self._blocks: list[tuple[int, int, list[tuple[str, int, bool]]]] = []
         self._read(html)
+        self._settle()
 
     def _flush(self) -> None:
         if self._parts:
-            text = " ".join("".join(self._parts).split())
+            _, path, element, _ = next(x for x in reversed(self._open) if x[0] in BLOCK or not x[0])
+            self._blocks.append((path, element, self._parts))
+            self._parts = []
+
+    def _settle(self) -> None:
+        """Drops the pieces that stand aside, one by one, and joins the others to blocks."""
+        n = len(self.parent)
+        # The nearest marked element of each, and whether any stands aside for sure.
+        near, gone = [0] * n, [False] * n
+        for e in range(1, n):
+            up, mark = self.parent[e], self._mark[e]
+            near[e] = e if mark else near[up]
+            gone[e] = gone[up] or mark == ""
+        prose = [0.0] * n
+        named = 0.0
+        in_root = [False] * n
+        for e in range(1, n):
+            in_root[e] = in_root[self.parent[e]] or self.root_tag[e]
+        for _, _, parts in self._blocks:
+            for piece, e, link in parts:
+                if not gone[e] and (size := len(piece.strip())):
+                    size *= 0.1 if link or not _PUNCTUATION.search(piece) else 1
+                    prose[near[e]] += size
+                    named += size if in_root[e] and not near[e] else 0
+        # A marked part with most of the page's prose is the article; so are its like, and what holds it.
+        real = set()
+        best = max(range(n), key=lambda e: (prose[e], -e))
+        if best and prose[best] >= 2 * prose[0] and named < 0.2 * sum(prose):
+            for e in range(1, n):
+                if e == best or (self._mark[e] == self._mark[best] and self.parent[e] == self.parent[best]):
+                    while e:
+                        real.add(e)
+                        e = self.parent[e]
+        aside = [False] * n
+        for e in range(1, n):
+            aside[e] = aside[self.parent[e]] or self._mark[e] == "" or (bool(self._mark[e]) and e not in real)
+        for e in range(n):
+            self.root_tag[e] = self.root_tag[e] and not aside[e]
+        for path, element, parts in self._blocks:
+            parts = [x for x in parts if not aside[x[1]]]
+            text = " ".join("".join([x[0] for x in parts]).split())
             if text:
-                _, path, aside, element = self._block
+                linked = sum(len(x[0]) for x in parts if x[2])
                 self.text.append(text)
-                self.path.append(path)
-                self.aside.append(aside)
+                self.path.append(self._paths.setdefault((path, "a"), len(self._paths) + 1) if 2 * linked > len(text) else path)
                 self.inside.append(element)
-            self._parts = []
 
     def _pop(self, n: int) -> None:
         for tag, *_ in self._open[n:]:
@@ -103,9 +156,8 @@ class Page:
         self._flush()
 
     def _say(self, raw: str) -> None:
-        if not self._parts:
-            self._block = self._open[-1]
-        self._parts.append(unescape(raw) if "&" in raw else raw)
+        _, _, element, link = self._open[-1]
+        self._parts.append((unescape(raw) if "&" in raw else raw, element, link))
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK or tag == "br":
@@ -135,84 +187,97 @@ class Page:
                 self._close(CLOSED_BY[tag], CONTAINERS)
         if tag in VOID:
             return at
-        _, path, aside, element = self._open[-1]
-        path = self._paths.setdefault((path, tag), len(self._paths) + 1)
+        _, path, element, link = self._open[-1]
         root = tag in ROOT_TAGS
         inside = any(self._count.get(t) for t in ROOT_TAGS)
-        aside = aside or tag in ASIDE or (tag == "header" and not inside)
+        sure, marks = tag in ASIDE or (tag == "header" and not inside), [tag] if tag in ASIDE_MAYBE else []
         if attributes:
             for name, *value in _NAMED.findall(attributes):
                 name, value = name.lower(), "".join(value)
                 if name in ("class", "id"):
-                    aside = aside or (tag not in ("html", "body") and any(w.lower() in ASIDE_WORDS and not (inside and w.lower() == "header") for w in _WORDS.findall(value)))
+                    words = [w.lower() for w in _WORDS.findall(value)] if tag not in ("html", "body") else []
+                    marks += [w for w in words if w in ASIDE_WORDS and not (inside and w == "header")]
                 elif name == "role":
-                    aside, root = aside or value.lower() in ASIDE_ROLES, root or value.lower() in ROOT_TAGS
+                    root = root or value.lower() in ROOT_TAGS
+                    marks += [value.lower()] if value.lower() in ASIDE_ROLES else []
                 elif name == "itemprop":
                     root = root or value.lower() == "articlebody"
                 elif name == "hidden" or value.lower() == "true":
-                    aside = True
+                    sure = True
         if tag in BLOCK:
-            element_parent, element = element, len(self.parent)
-            self.parent.append(element_parent)
-            self.root_tag.append(root and not aside)
+            path = self._paths.setdefault((path, tag), len(self._paths) + 1)
+        if tag in BLOCK or sure or marks or root:
+            self.parent.append(element)
+            element = len(self.parent) - 1
+            self.root_tag.append(root and not sure)
             self.tag_of.append(tag)
-        self._open.append((tag, path, aside, element))
+            self._mark.append("" if sure else " ".join(marks) or None)
+        self._open.append((tag, path, element, link or tag == "a"))
         self._count[tag] = self._count.get(tag, 0) + 1
         return at
 
 
-def path_scores(length: np.ndarray, marks: np.ndarray, path: np.ndarray) -> np.ndarray:
-    """Each block's fused ratio: text length and punctuation per node of its path, smoothed over the page, as a geometric mean."""
+def path_scores(length: np.ndarray, marks: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's fused ratio as a geometric mean: text length and punctuation per node of its path, as they are and smoothed over the page."""
     _, at, nodes = np.unique(path, return_inverse=True, return_counts=True)
-    out = np.ones(len(path))
+    plain, smooth = np.ones(len(path)), np.ones(len(path))
     for x in (length, marks):
         ratio = (np.bincount(at, x) / nodes)[at]
-        out *= np.convolve(np.pad(ratio, SPAN, mode="edge"), np.full(2 * SPAN + 1, 1 / (2 * SPAN + 1)), mode="valid") + 1
-    return np.sqrt(out)
+        plain *= ratio + 1
+        smooth *= np.convolve(np.pad(ratio, SPAN, mode="edge"), np.full(2 * SPAN + 1, 1 / (2 * SPAN + 1)), mode="valid") + 1
+    return np.sqrt(plain), np.sqrt(smooth)
 
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by line ends.
 
-    Blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments stand aside. Of the others the
-    tag paths' ratios tell content; the article element (or main, or the deepest element with most of the content)
-    that has most of it gives all its blocks. Without such an element the blocks from the first to the last content
-    block count, and headings before them.
+    Pieces in menus, headers, footers, sidebars, notices, adverts, forms and comments stand aside; one marked so by a
+    word, role or form alone doesn't if it has most of the page's prose. Of the other blocks the tag paths' ratios tell
+    content: a path is content if its mean score, higher inside article and main elements, reaches the threshold. The
+    result is the content in the deepest element that has most of it, with the headings before it.
     """
     if not html:
         return ""
     page = Page(html)
-    own = [k for k in range(len(page.text)) if not page.aside[k]]
-    if not own:
+    n = len(page.text)
+    if not n:
         return ""
-    length = np.array([len(page.text[k]) for k in own], np.float64)
-    marks = np.array([len(_PUNCTUATION.findall(page.text[k])) for k in own], np.float64)
-    score = path_scores(length, marks, np.array([page.path[k] for k in own]))
-    content = score >= THRESHOLD * score.std()
-    weight = np.zeros(len(page.parent))
-    np.add.at(weight, [page.inside[k] for k in own], score * length * content)
+    length = np.array([len(t) for t in page.text], np.float64)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in page.text], np.float64)
+    path, inside = np.array(page.path), np.array(page.inside)
+    plain, score = path_scores(length, marks, path)
+    least = THRESHOLD * score.std()
+    named = np.array(page.root_tag)
+    for e in range(1, len(named)):
+        named[e] = named[e] or named[page.parent[e]]
+    has_root = bool(named[inside].any())
+    if has_root:
+        score = score * np.where(named[inside], INSIDE, OUTSIDE)
+    _, at, nodes = np.unique(path, return_inverse=True, return_counts=True)
+    content = ((np.bincount(at, score) / nodes)[at] >= least) & (2 * plain >= least)
+    weight, blocks = np.zeros(len(page.parent)), np.zeros(len(page.parent), np.int64)
+    np.add.at(weight, inside, score * length * content)
+    np.add.at(blocks, inside, 1)
     for e in range(len(weight) - 1, 0, -1):
         weight[page.parent[e]] += weight[e]
-    named = [e for e in range(len(weight)) if page.root_tag[e]]
-    root = max(named, key=lambda e: (weight[e], -e), default=None)
-    if root is not None and weight[root] > 0:
-        # The outermost named element with as much content.
-        e = root
-        while e:
-            e = page.parent[e]
-            if page.root_tag[e] and weight[e] <= 1.25 * weight[root]:
-                root = e
-        within = np.zeros(len(weight), bool)
-        for e in range(len(weight)):
-            within[e] = e == root or (e > 0 and within[page.parent[e]])
-        return "\n".join(page.text[k] for k in own if within[page.inside[k]])
-    chosen = np.flatnonzero(content)
-    if not len(chosen):
+        blocks[page.parent[e]] += blocks[e]
+    if not weight[0]:
         return ""
-    first, last = int(chosen[0]), int(chosen[-1])
-    while first and page.tag_of[page.inside[own[first - 1]]] in ("h1", "h2", "h3"):
-        first -= 1
-    return "\n".join(page.text[k] for k in own[first : last + 1])
+    # Elements come after those that enclose them. A single block is no article that others can be left out for.
+    within = np.zeros(len(weight), bool)
+    holder = max(e for e in range(len(weight)) if weight[e] >= MOST * weight[0] and (not e or (page.tag_of[e] in HOLDERS and blocks[e] > 1)))
+    for e in range(len(weight)):
+        within[e] = e == holder or (e > 0 and within[page.parent[e]])
+    # A heading stays if something of its section does; above the holder if it stands just before what stays.
+    rank = [int(page.tag_of[e][1]) if page.tag_of[e] in HEADINGS else 7 for e in page.inside]
+    keep, held = content & within[inside], 0
+    for k in range(n - 1, -1, -1):
+        if rank[k] < 7:
+            keep[k] = held > rank[k] if within[inside[k]] else not has_root and k + 1 < n and keep[k + 1]
+            held = min(held, rank[k])
+        elif keep[k]:
+            held = 7
+    return "\n".join(t for t, kept in zip(page.text, keep, strict=True) if kept)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
