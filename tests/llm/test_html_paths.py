@@ -1,4 +1,6 @@
-"""Pages that don't name their article or that hold unmarked boilerplate."""
+"""Pages that don't name their article, that hold unmarked boilerplate, or whose marks mislead."""
+
+import pytest
 
 from veriloom.llm.html_extraction import main_text
 
@@ -28,6 +30,28 @@ def test_one_long_paragraph_is_not_the_holder():
     assert main_text(f"<body><div><p>{' '.join(LONG * 5)}</p><p>Short, last one, still here.</p></div></body>").endswith("\nShort, last one, still here.")
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [("<div class='content with-sidebar'>", "</div>"), ("<div id='page' class='no-sidebar'>", "</div>"), ("<article class='post comments-open'>", "</article>"), ("<form action='/'>", "</form>"), ("<div role='form' class='no-sidebar'><div class='with-banner'>", "</div></div>")],
+)
+def test_marks_of_the_whole_page_do_not_count(before, after):
+    small = f"<div class='comments'><p>A reader, says this.</p></div><div class='sidebar'>{LINKS}<p>Buy, now.</p></div>"
+    assert main_text(f"<body>{before}{PARAS}{small}{after}<footer>Us, here.</footer></body>").split("\n") == LONG
+
+
+def test_marked_parts_like_the_article_stay_and_comments_go():
+    posts = "".join(f"<div class='post comments-open'>{PARAS}</div>" for _ in range(3))
+    assert main_text(f"<body>{posts}<div class='share'>Share, this.</div></body>").split("\n") == LONG * 3
+    thread = "<div class='comments'>" + "".join(f"<div class='comment'><p>{t}</p></div>" for t in LONG * 3) + "</div>"
+    assert main_text(f"<body><article>{PARAS}</article>{thread}</body>").split("\n") == LONG
+    assert main_text(f"<body><div>{PARAS}</div>{thread}</body>").split("\n") == LONG
+
+
+def test_inline_pieces_stand_aside_one_by_one():
+    page = f"<body><div><p><span class='share'>Share</span>{LONG[0]}</p><p>{LONG[1]} <span class='ad'>Buy</span></p><p>{LONG[2][:40]}<i hidden>no</i>{LONG[2][40:]}</p></div></body>"
+    assert main_text(page).split("\n") == LONG[:3]
+
+
 def test_headings_stay_with_something_of_their_section():
     page = f"<body><article><h1>Head</h1>{LINKS}<h2>Part</h2><h3>Sub</h3>{PARAS}<h3>None</h3>{LINKS}<h2>Share</h2><h3>More</h3>{PLAIN}</article></body>"
     assert main_text(page).split("\n") == ["Head", "Part", "Sub", *LONG]
