@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, fold, in_batches, joined, text_batches, texts_of
+from .common import emit, fold, in_batches, joined, range_sums, text_batches, texts_of
 
 #: Bytes of context at most.
 ORDER = 3
 #: A language learns from about so many documents at most, picked by the hash of their id.
 DOCS_PER_LANG = 1500
-#: Contexts of each length that the trees keep at most, the most frequent ones.
-CONTEXTS = 6_000
+#: Positions that are scored at once, and bytes of code lengths that a worker keeps at most.
+POSITIONS, CACHE_BYTES = 1 << 20, 32 << 20
 #: Documents that score lower are rejected by keep_known.
 LEAST_SCORE = 0.5
 
@@ -29,35 +29,65 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass
 class Trees:
-    """All languages' trees in one shape.
+    """Each language's tree, whole: all contexts of 0 to ORDER bytes that its sample has, as sorted arrays by length.
 
-    symbol: each byte's symbol; the last symbol stands for all bytes that training never had. step[k]: the state
-    after k+1 bytes of context from the state of k bytes and the next byte, falling back to the longest context kept;
-    states are numbered by the length of their context, and step[k] has those of k bytes at most.
-    bits[lang, state, symbol]: the code length.
+    node[k]: the contexts of k bytes with a byte after them, as language << 32 | bytes; prob[k]: that byte's probability.
+    context[k]: the contexts themselves; escape[k]: what the next shorter context's probability of another byte is multiplied by.
     """
 
     langs: list[str]
-    symbol: np.ndarray
-    step: list[np.ndarray]
-    bits: np.ndarray
+    node: list[np.ndarray]
+    prob: list[np.ndarray]
+    context: list[np.ndarray]
+    escape: list[np.ndarray]
+
+    def __post_init__(self):
+        self._grams, self._bits = np.zeros(0, np.uint32), np.zeros((len(self.langs), 0), np.float32)
+
+    def shared(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def gram_bits(self, grams: np.ndarray) -> np.ndarray:
+        """[language, gram] code length of the last byte of each gram (ORDER + 1 bytes) after the others."""
+        out = np.empty((len(self.langs), len(grams)), np.float32)
+        for j in range(len(self.langs)):
+            key = grams.astype(np.int64)
+            p = np.full(len(grams), 1 / 256)
+            for k in range(ORDER + 1):
+                p = p * _found(self.context[k], self.escape[k], _tail(key >> 8, k) | j << 32, 1.0)
+                own = _found(self.node[k], self.prob[k], _tail(key, k + 1) | j << 32, 0.0)
+                p = np.where(own > 0, own, p)
+            out[j] = -np.log2(np.maximum(p, 1e-30))
+        return out
+
+    def _known_bits(self, grams: np.ndarray) -> np.ndarray:
+        """gram_bits of distinct sorted grams, kept for the next batch."""
+        new = np.setdiff1d(grams, self._grams, assume_unique=True)
+        if len(new):
+            if (len(self._grams) + len(new)) * 4 * (1 + len(self.langs)) > CACHE_BYTES:
+                self._grams, self._bits, new = grams, self.gram_bits(grams), new[:0]
+            all_grams = np.concatenate([self._grams, new])
+            order = np.argsort(all_grams)
+            self._bits = np.concatenate([self._bits, self.gram_bits(new)], axis=1)[:, order]
+            self._grams = all_grams[order]
+        return self._bits[:, np.searchsorted(self._grams, grams)]
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
         data, starts, ends = joined(texts, _PAD)
-        sym = self.symbol[data].astype(np.int32)
-        n, width = len(sym), self.bits.shape[2]
-        # The state before byte i, from the bytes i-ORDER to i-1.
-        state = np.zeros(n - ORDER, np.int32)
-        for k, table in enumerate(self.step):
-            state = table[state * width + sym[k : n - ORDER + k]]
-        cell = state * width + sym[ORDER:]
-        out = np.empty((len(texts), len(self.langs)))
-        bounds = np.empty(2 * len(texts), np.int64)
-        bounds[0::2], bounds[1::2] = starts - ORDER, ends - ORDER
-        for j in range(len(self.langs)):
-            cost = np.append(self.bits[j].ravel()[cell], np.float32(0))
-            out[:, j] = np.where(ends > starts, np.add.reduceat(cost, bounds, dtype=np.float64)[0::2], 0)
+        out = np.zeros((len(texts), len(self.langs)))
+        starts, ends = starts - ORDER, ends - ORDER
+        for a in range(0, len(data) - ORDER, POSITIONS):
+            b = min(a + POSITIONS, len(data) - ORDER)
+            gram = np.zeros(b - a, np.uint32)
+            for k in range(ORDER + 1):
+                gram = gram << np.uint32(8) | data[a + k : b + k]
+            distinct, at = np.unique(gram, return_inverse=True)
+            bits = self._known_bits(distinct)
+            first, last = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
+            low, high = np.clip(starts[first:last] - a, 0, b - a), np.clip(ends[first:last] - a, 0, b - a)
+            for j in range(len(self.langs)):
+                out[first:last, j] += range_sums(bits[j][at], low, high)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -98,84 +128,39 @@ def _grams(data: DataFrame) -> DataFrame:
     return in_batches(data, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _tail(code: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes."""
+    return code & ((1 << 8 * n) - 1)
+
+
+def _found(keys: np.ndarray, values: np.ndarray, want: np.ndarray, otherwise: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(want), otherwise)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return np.where(keys[at] == want, values[at], otherwise)
+
+
 def build_trees(langs: np.ndarray, grams: np.ndarray, n: np.ndarray) -> Trees:
     """Trees from gram counts. A context's symbols share n / (n + distinct) of its probability, the rest escapes to the next shorter context, renormalised over the symbols not seen here; the shortest escapes to all 256 bytes alike."""
     names = sorted(set(langs.tolist()))
-    lang = np.searchsorted(names, langs) if names else np.zeros(0, np.int64)
-    cols = [(grams >> (8 * (ORDER - k))) & 0xFF for k in range(ORDER + 1)]
-    seen = np.unique(np.concatenate([cols[ORDER], [_PAD[0]]])).astype(np.int64)
-    width = len(seen) + 1
-    symbol = np.full(256, width - 1, np.int32)
-    symbol[seen] = np.arange(len(seen))
-    many = np.ones(width)
-    many[-1] = max(1, 256 - len(seen))
-    sym = [symbol[c].astype(np.int64) for c in cols]
-
-    # States: the empty context, then the frequent contexts of each length; a context's shorter one is kept too.
-    context = [np.zeros(len(grams), np.int64)]
-    for k in range(1, ORDER + 1):
-        code = np.zeros(len(grams), np.int64)
-        for s in sym[ORDER - k : ORDER]:
-            code = code * width + s
-        context.append(code)
-    ids: list[dict[int, int]] = [{0: 0}]
-    shorter, total = [0], 1
-    for k in range(1, ORDER + 1):
-        codes, at = np.unique(context[k], return_inverse=True)
-        weight = np.bincount(at, n, minlength=len(codes))
-        keep = codes[np.lexsort((codes, -weight))[:CONTEXTS]]
-        tail = keep % width ** (k - 1)
-        level = {}
-        for c, t in zip(keep.tolist(), tail.tolist(), strict=True):
-            if t in ids[k - 1]:
-                level[c] = total
-                shorter.append(ids[k - 1][t])
-                total += 1
-        ids.append(level)
-
-    lookup = []
-    for k in range(ORDER + 1):
-        keys = np.array(sorted(ids[k]), np.int64)
-        lookup.append((keys, np.array([ids[k][c] for c in keys.tolist()], np.int64)))
-
-    counts = np.zeros((len(names), total, width), np.float32)
+    lang = np.searchsorted(names, langs).astype(np.int64) << 32 if names else np.zeros(0, np.int64)
+    trees = Trees(names, [], [], [], [])
+    below = None
     for k in range(ORDER + 1):
-        keys, to = lookup[k]
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, context[k]), len(keys) - 1)
-            ok = keys[at] == context[k]
-            np.add.at(counts, (lang[ok], to[at[ok]], sym[ORDER][ok]), n[ok])
-
-    prob = np.empty_like(counts)
-    base = np.full((len(names), width), 1 / 256, np.float32)
-    back = np.array(shorter)
-    for s0 in range(total):
-        own = counts[:, s0]
-        low = base if s0 == 0 else prob[:, back[s0]]
-        have = own > 0
-        size, kinds = own.sum(axis=1, keepdims=True), have.sum(axis=1, keepdims=True)
-        rest = np.where(have, 0, low * many).sum(axis=1, keepdims=True)
-        prob[:, s0] = np.where(have, own, np.where(rest > 0, kinds * low / np.maximum(rest, 1e-30), 0)) / np.maximum(size + kinds, 1e-30)
-        prob[:, s0] = np.where(size > 0, prob[:, s0], low)
-    bits = -np.log2(np.maximum(prob, 1e-30)).astype(np.float32)
-
-    # Steps: reading the context from its oldest byte, the state is the longest kept suffix of what was read.
-    code_of = {i: (k, c) for k in range(ORDER + 1) for c, i in ids[k].items()}
-    step = []
-    for k in range(ORDER):
-        upto = sum(len(ids[length]) for length in range(k + 1))
-        table = np.zeros((upto, width), np.int32)
-        for s0 in range(upto):
-            length, code = code_of[s0]
-            if length:
-                table[s0] = table[back[s0]]
-            # From a state of this length, one more symbol: the longer context where it is kept, else what the shorter one gives.
-            for s in range(width):
-                to = ids[length + 1].get(code * width + s)
-                if to is not None:
-                    table[s0, s] = to
-        step.append(table.ravel())
-    return Trees(names, symbol, step, bits)
+        node, at = np.unique(lang | _tail(grams, k + 1), return_inverse=True)
+        count = np.bincount(at, n, minlength=len(node))
+        head = node >> 32 << 32
+        context, of = np.unique(head | _tail(node, k + 1) >> 8, return_inverse=True)
+        size, kinds = np.bincount(of, count, minlength=len(context)), np.bincount(of, minlength=len(context))
+        # What the shorter context gives the symbols seen here: all of them were seen there.
+        low = np.full(len(node), 1 / 256) if below is None else _found(*below, head | _tail(node, k), 0.0)
+        rest = 1 - np.bincount(of, low, minlength=len(context))
+        escape = np.where(rest > 1e-12, kinds / np.maximum(rest, 1e-12), 0) / np.maximum(size + kinds, 1e-30)
+        prob = count / np.maximum(size + kinds, 1e-30)[of]
+        below = node, prob
+        for to, x in ((trees.node, node), (trees.prob, prob), (trees.context, context), (trees.escape, escape)):
+            to.append(x)
+    return trees
 
 
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
@@ -198,13 +183,13 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "do
 def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text: the id, lang_pred, score (posterior probability, 0 to 1) and bits_per_byte.
 
-    The trees have a bounded size (ORDER * CONTEXTS states) and go to all tasks; a map over the rows, no shuffle.
+    The trees hold every context of the bounded samples and no empty cells, and go to all tasks; a map over the rows, no shuffle.
     ``und`` with score 0 if a text is null or has no letter or nothing was learned; ties go to the smaller
     language; a null id stays null; repeated rows each have a row; an empty table gives no rows; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(vars(trees))
+    shared = docs.sparkSession.sparkContext.broadcast(trees.shared())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(**shared.value)
@@ -217,7 +202,7 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
 
 def keep_known(docs: DataFrame, trees: Trees, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text has no known language or whose score is under least_score; columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(trees))
+    shared = docs.sparkSession.sparkContext.broadcast(trees.shared())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(**shared.value)
