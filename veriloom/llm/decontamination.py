@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import emit, in_batches, joined, text_batches, texts_of
 
-#: Bytes in a q-gram: it fills a 64-bit word.
+#: Bytes in a q-gram at most: it fills a 64-bit word.
 Q = 8
 #: Edits allowed in a benchmark text, as a share of its bytes.
 EDITS = 0.1
-#: Shorter benchmark texts (bytes) must occur as they are.
-LEAST = 80
 #: The benchmark goes to the tasks in blocks of at most so many bytes of text.
 BLOCK_BYTES = 4 << 20
 _BITS = 22
@@ -32,22 +30,41 @@ def folded(text: str) -> bytes:
 
 
 def edits_allowed(n: int) -> int:
-    return int(EDITS * n) if n >= LEAST else 0
+    """Edits allowed in a text of n bytes; only texts of fewer than 10 must occur as they are."""
+    return int(EDITS * n)
+
+
+def gram_size(n: int) -> int:
+    """The longest q-gram, Q at most, of which a text of n bytes keeps one under all edits allowed; Q from 40 bytes on."""
+    return min(Q, n // (edits_allowed(n) + 1)) if n >= Q else Q
 
 
 class Passages:
-    """A block of benchmark texts with the postings of their q-grams."""
+    """A block of benchmark texts, by the size of their q-grams."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         items = [(i, t) for i, t in items if t.strip()]
+        sizes = sorted({gram_size(len(t)) for _, t in items})
+        self.parts = [_Part([(i, t) for i, t in items if gram_size(len(t)) == q], q) for q in sizes]
+
+    def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits): the best region of each benchmark text in each text, bytes of the folded text."""
+        return sorted(x for part in self.parts for x in part.find(texts))
+
+
+class _Part:
+    """Benchmark texts with the postings of their q-grams."""
+
+    def __init__(self, items: list[tuple[int, bytes]], q: int):
+        self.q = q
         self.ids = np.array([i for i, _ in items], np.int64)
         self.texts = [t for _, t in items]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.array([edits_allowed(len(t)) for t in self.texts], np.int64)
         # The lemma: a region within k edits of n bytes shares at least n - q + 1 - k q grams with the text.
-        self.need = np.maximum(1, self.size - Q + 1 - self.edits * Q)
+        self.need = np.maximum(1, self.size - q + 1 - self.edits * q)
         self.short = [k for k, t in enumerate(self.texts) if len(t) < Q]
-        grams = [_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
+        grams = [_grams(np.frombuffer(t, np.uint8), q) for t in self.texts]
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -58,9 +75,6 @@ class Passages:
         self.maybe[_slot(self.gram)] = True
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits): the best region of each benchmark text in each text, bytes of the folded text."""
-        if not self.texts:
-            return []
         data, starts, ends = joined(texts, b"\0" * Q)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
 
@@ -89,7 +103,7 @@ class Passages:
         An alignment within k edits stays on k + 1 neighbouring diagonals; bands of 2k + 2 diagonals, each k + 1 after
         the last, so hold it whole.
         """
-        gram = _grams(data)
+        gram = _grams(data, self.q)
         at = np.flatnonzero(self.maybe[_slot(gram)])
         if not len(at):
             return
@@ -125,12 +139,14 @@ def _distinct(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     return keys[np.append(True, (keys[1:] != keys[:-1]) | (place[1:] != place[:-1]))] if len(keys) else keys
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
+def _grams(data: np.ndarray, q: int) -> np.ndarray:
     """The q-gram at each place as a 64-bit word."""
-    n = len(data) - Q + 1
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return np.ndarray((n,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
+    if q < Q:
+        data = np.concatenate([data, np.zeros(Q - q, np.uint8)])
+    return np.ndarray((n,), "<u8", np.ascontiguousarray(data), 0, (1,)) & np.uint64((1 << 8 * q) - 1)
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
@@ -187,8 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Benchmark texts found in documents: doc_id, item_id, start, end (bytes of the text's UTF-8), edits.
 
     A row for each document and benchmark text with a region of the document within EDITS of the text's bytes
-    (case of A-Z and kind of white space aside); the region with the fewest edits, the first of equals. Texts under
-    LEAST bytes must occur whole. A map over the documents for each block of the benchmark, which holds a bounded
+    (case of A-Z and kind of white space aside); the region with the fewest edits, the first of equals. A map over the documents for each block of the benchmark, which holds a bounded
     number of bytes; no shuffle.
 
     Null and empty texts and benchmark texts give no rows; documents with a null id are left out; repeated rows each
