@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: universe partitions, the pigeonhole principle and exact verification."""
+"""N-gram Jaccard join: universe partitions and the pigeonhole principle, or prefixes at low similarities, and exact verification."""
 
 from __future__ import annotations
 
@@ -29,6 +29,10 @@ BITMAP_WORDS = 8
 CANDIDATE_COST = 20.0
 #: Share of the tokens of an unrelated set that a set is assumed to have too.
 COMMON = 0.05
+#: Under this similarity (hundredths) prefixes take fewer index entries than segments.
+SEGMENTS_FROM = 85
+#: Documents, about, whose shingles tell which are frequent; frequent shingles that are kept at most.
+SAMPLE, FREQUENT = 5_000, 100_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
@@ -129,7 +133,37 @@ class Bands:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
 
 
-def _sets(docs: DataFrame, bands: Bands | None, words: int, keep_tokens: bool = False) -> DataFrame:
+class Prefixes:
+    """The first tokens of each set in one order of all tokens, the rare ones first.
+
+    Sets that link share threshold/100 of either's tokens at least, so each has one of the shared tokens among the
+    first n - ceil(threshold n / 100) + 1 of its n, and the first shared one is among both sets' first. That holds in
+    any order; the frequent tokens of a sample come last so that few unrelated sets meet.
+    """
+
+    def __init__(self, threshold: int, frequent: np.ndarray, times: np.ndarray):
+        self.t, self.frequent, self.times = threshold, frequent, times
+
+    def entries(self, tokens: np.ndarray) -> np.ndarray:
+        n = len(tokens)
+        if not n or not len(self.frequent):
+            return tokens[: n + (-self.t * n) // 100 + 1] if n else tokens
+        at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+        times = np.where(self.frequent[at] == tokens, self.times[at], 0)
+        return np.sort(tokens[np.argsort(times, kind="stable")[: n + (-self.t * n) // 100 + 1]])
+
+
+def _prefixes(docs: DataFrame, words: int, threshold: int, n: int) -> Prefixes:
+    share = min(1.0, SAMPLE / max(1, n))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * share)))
+    times = _sets(sample, None, words, keep_tokens=True).select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    got = times.where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    token, n_times = got["token"].to_numpy().view(_U), got["n"].to_numpy()
+    order = np.argsort(token)
+    return Prefixes(threshold, token[order], n_times[order])
+
+
+def _sets(docs: DataFrame, bands: Bands | Prefixes | None, words: int, keep_tokens: bool = False) -> DataFrame:
     """doc_id, n_shingles, fingerprint (128 bits of the set), and the set's entries or its tokens."""
     with_entries = bands is not None
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("hashes", pa.list_(pa.int64()))])
@@ -214,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     most = docs.agg(F.max(F.length("text")).alias("most"), F.count("*").alias("n")).head()
-    bands = Bands(max(2, (most["most"] or 0) // 2 + 2), most["n"], threshold)
+    bands = Bands(max(2, (most["most"] or 0) // 2 + 2), most["n"], threshold) if threshold >= SEGMENTS_FROM else _prefixes(docs, words, threshold, most["n"])
     sets = written(_sets(docs, bands, words), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     reps = written(full.groupBy("fingerprint", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
