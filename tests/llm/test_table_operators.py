@@ -62,20 +62,6 @@ def test_join_of_odd_rows(spark):
     assert sorted((r["doc_id"] for r in jaccard_join.keep_first(df).collect()), key=str) == [1, 8, None]
 
 
-def test_segments_share_an_entry():
-    rng = np.random.default_rng(3)
-    bands = jaccard_join.Bands(2000, 10**6)
-    for n in (1, 5, 9, 10, 19, 40, 200, 1000):
-        for _ in range(20):
-            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-            away = bands.most_different(len(x))
-            gone = rng.integers(0, away + 1)
-            y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 2**63, away - gone, dtype=np.uint64)]))
-            common = len(np.intersect1d(x, y))
-            if len(y) and 100 * common >= 90 * (len(x) + len(y) - common):
-                assert len(np.intersect1d(bands.entries(x), bands.entries(y)))
-
-
 @pytest.mark.parametrize("spread", [3, 200])
 def test_topk_brute_force(spark, spread, monkeypatch):
     """Small trees, many ties."""

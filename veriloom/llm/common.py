@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +15,8 @@ from pyspark.sql import functions as F
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows and bytes of an Arrow batch at most.
-ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-_own_folder: list[str] = []
-
+#: Tables of more bytes are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, as Spark reads it (any file system)."""
@@ -27,37 +24,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may go without it; then a temporary folder serves.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="veriloom-"))
-    return _own_folder[0]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/veriloom"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. It stays there."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A function like ``written`` whose tables are deleted at the end of the block, by when what is made of them must be written."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield lambda df, label: written(df, label, folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def few(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df to be broadcast if its rows of this size at most hold BROADCAST_BYTES at most, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with batches of bounded size: rows can hold long texts, and a task holds a batch in the JVM and in Python."""
-    for key, value in ARROW_BOUNDS.items():
-        df.sparkSession.conf.set(key, value)
+    """df.mapInArrow; Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch), and text_batches cuts it further."""
     return df.mapInArrow(run, schema)
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 
 def _both(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -27,14 +25,15 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
     return out.where("a < b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, table) -> DataFrame:
     """node, root: the least node that links (a < b, not null) reach, for every linked node but the roots themselves.
 
-    Each round's links are written to the shared folder; rounds grow with the logarithm of the longest path.
+    table writes a table under a label. Each round's links are written; rounds grow with the logarithm of the longest
+    path. Repeated links count once; without links there are no rows.
     """
-    links, before = written(links.select("a", "b").distinct(), "links"), None
+    links, before = table(links.select("a", "b").distinct(), "links"), None
     while True:
-        links = written(_star(_star(links, small=False), small=True), "links")
+        links = table(_star(_star(links, small=False), small=True), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if now == before or not now[0]:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
