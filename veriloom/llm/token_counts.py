@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice, repeat
+from heapq import heapify, heappop, heappush
+from itertools import groupby, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,22 @@ from pyspark.sql import functions as F
 from .common import emit, in_batches, range_sums, text_batches, texts_of
 
 MARK = "▁"
-LETTERS = r"[^\W\d_]"
 #: Counts of distinct pre-tokens that a worker keeps at most.
 CACHE_WORDS = 400_000
 #: A batch of pre-tokens to merge has about so many symbols at most.
 MERGE_SYMBOLS = 400_000
+#: Longer pre-tokens are merged one by one: in each step of the arrays they may merge one pair only.
+LONG = 256
+
+
+def letters() -> str:
+    """A character class of what str.isalpha takes for letters."""
+    parts, start = [], 0
+    for alpha, run in groupby(range(0x110001), lambda k: k < 0x110000 and chr(k).isalpha()):
+        n = sum(1 for _ in run)
+        parts += [f"\\U{start:08x}-\\U{start + n - 1:08x}"] if alpha else []
+        start += n
+    return f"[{''.join(parts)}]"
 
 
 class MergeTable:
@@ -56,6 +68,7 @@ class MergeTable:
                             eager[part] = True
         self._hash(np.array(keys, np.int64), np.array(to, np.int64))
         self.rank, self.eager = rank, eager
+        self._pairs = dict(zip(keys, to, strict=True))
         # Pre-tokens: no piece has the mark after another character, a letter next to another character, or a
         # character that is in no piece of two; where the model has such pieces, longer stretches stay whole.
         inside = {p.lstrip(MARK) for p in ids}
@@ -64,7 +77,8 @@ class MergeTable:
         elif any(a.isalpha() != b.isalpha() for p in inside for a, b in zip(p, p[1:], strict=False)) or any("\n" in p for p in ids):
             self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
         else:
-            self.split = re.compile(f"{MARK}*{LETTERS}+|{MARK}*(?:(?!{LETTERS})[^{MARK}\n])+|{MARK}+|\n", re.S)
+            letter = letters()
+            self.split = re.compile(f"{MARK}*{letter}+|{MARK}*(?:(?!{letter})[^{MARK}\n])+|{MARK}+|\n", re.S)
 
     def _hash(self, keys: np.ndarray, to: np.ndarray) -> None:
         """Pairs in an open hash table with linear probing."""
@@ -133,6 +147,33 @@ class MergeTable:
             sym, seq = sym[keep], seq[keep]
         return out
 
+    def count_long(self, word: str) -> int:
+        """As count, for one word: its pairs wait in a heap by rank, then place, so the time is in proportion to its length but for a logarithm."""
+        n, pairs, rank = self.n, self._pairs, self.rank
+        sym = self.symbol[np.frombuffer(word.encode("utf-32-le"), np.uint32)].tolist()
+        out, end = sum(1 if s < n else s - n for s in sym), len(sym)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+
+        def made(i: int) -> int | None:
+            j = after[i]
+            return pairs.get(sym[i] * n + sym[j]) if j < end and 0 <= sym[i] < n and sym[j] < n else None
+
+        heap = [(int(rank[p]), i, p) for i in range(end - 1) if (p := made(i)) is not None]
+        heapify(heap)
+        while heap:
+            _, i, p = heappop(heap)
+            if made(i) != p:
+                continue
+            j = after[i]
+            sym[i], sym[j], after[i] = p, -1, after[j]
+            if after[i] < end:
+                before[after[i]] = i
+            out -= 1
+            for k in (before[i], i):
+                if k >= 0 and (p := made(k)) is not None:
+                    heappush(heap, (int(rank[p]), k, p))
+        return out
+
 
 def load(model_file: str) -> MergeTable:
     """The merge table of a SentencePiece BPE model with byte fallback and no text normalisation."""
@@ -157,6 +198,9 @@ def _counter(model_file: str):
         missing = np.flatnonzero(n < 0).tolist()
         new = sorted(dict.fromkeys(words[i] for i in missing), key=len)
         own, start = {}, 0
+        while new and len(new[-1]) > LONG:
+            word = new.pop()
+            own[word] = table.count_long(word)
         while start < len(new):
             stop, size = start, 0
             while stop < len(new) and (stop == start or size + len(new[stop]) <= MERGE_SYMBOLS):
@@ -167,7 +211,7 @@ def _counter(model_file: str):
         n[missing] = [own[words[i]] for i in missing]
         if len(known) + len(own) > CACHE_WORDS:
             known.clear()
-        known.update(islice(own.items(), CACHE_WORDS))
+        known.update(islice(((w, k) for w, k in own.items() if len(w) <= LONG), CACHE_WORDS))
         ends = np.cumsum(sizes)
         return range_sums(n, ends - sizes, ends)
 
@@ -181,7 +225,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     arrays, in each step the lowest-ranked pair of every sequence. A map over the rows: no shuffle.
 
     Columns: the id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit). A null or empty text has 0 tokens;
-    a null id stays null; repeated rows each have a row; an empty table gives no rows; other columns are ignored.
+    a null id stays null; repeated rows each have a row; an empty table gives no rows; a very long text is counted
+    whole, its pre-tokens of over LONG characters one by one; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
