@@ -17,6 +17,10 @@ Q = 8
 EDITS = 0.1
 #: The benchmark goes to the tasks in blocks of at most so many bytes of text.
 BLOCK_BYTES = 4 << 20
+#: A q-gram with more runs in a block's items is left out where an item has enough others.
+HOT = 256
+#: Pairs of runs that are counted at once; bytes of a run in the data, and diagonals of a region, at most.
+PRODUCT, RUN, REGION = 1 << 19, 1 << 12, 1 << 17
 _BITS = 22
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -64,12 +68,17 @@ class _Part:
         # The lemma: a region within k edits of n bytes shares at least n - q + 1 - k q grams with the text.
         self.need = np.maximum(1, self.size - q + 1 - self.edits * q)
         self.short = [k for k, t in enumerate(self.texts) if len(t) < Q]
-        grams = [_grams(np.frombuffer(t, np.uint8), q) for t in self.texts]
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        gram, place, length, item = _runs_of([_grams(np.frombuffer(t, np.uint8), q) for t in self.texts])
+        # Grams that very many places have are left out where enough of an item's others remain to tell.
+        _, at, times = np.unique(gram, return_inverse=True, return_counts=True)
+        hot = times[at] > HOT
+        less = np.bincount(item, length * hot, minlength=len(self.texts)).astype(np.int64)
+        spared = self.need - less >= np.maximum(1, self.need // 2)
+        self.need = np.where(spared, self.need - less, self.need)
+        keep = ~(hot & spared[item])
+        gram, place, length, item = gram[keep], place[keep], length[keep], item[keep]
         order = np.argsort(gram, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item, self.place, self.length = item[order], place[order], length[order]
         self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[_slot(self.gram)] = True
@@ -98,10 +107,11 @@ class _Part:
         return [(doc, int(self.ids[item]), a, b, e) for (doc, item), (e, a, b) in sorted(best.items())]
 
     def regions(self, data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, low, high) of the diagonal bands with enough shared q-grams.
+        """(text, item, low, high) of the diagonal bands with enough shared q-grams; neighbouring ones are one.
 
         An alignment within k edits stays on k + 1 neighbouring diagonals; bands of 2k + 2 diagonals, each k + 1 after
-        the last, so hold it whole.
+        the last, so hold it whole. Runs of one gram count as a range, in the data as in the items. The bands of a
+        piece of the data are settled and dropped before the next one. A place may count twice, which only lets more in.
         """
         gram = _grams(data, self.q)
         at = np.flatnonzero(self.maybe[_slot(gram)])
@@ -110,33 +120,68 @@ class _Part:
         found = np.minimum(np.searchsorted(self.gram, gram[at]), len(self.gram) - 1)
         same = self.gram[found] == gram[at]
         at, found = at[same], found[same]
+        if not len(at):
+            return
+        new = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (found[1:] != found[:-1]) | (at[1:] // RUN != at[:-1] // RUN)))
+        run, found, lasts = at[new], found[new], at[np.append(new[1:], len(at)) - 1]
+        lead, widest = int(self.size.max()), 2 * int(self.edits.max()) + 2
+        ends = np.cumsum(self.count[found])
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin = 0
+        while begin < len(run):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PRODUCT)))
+            key, count = self._shared(run[begin:stop], lasts[begin:stop], found[begin:stop], lead)
+            keys, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, count]), minlength=len(keys)).astype(np.int64)
+            begin = stop
+            # A band whose last diagonal ends before the next run is whole.
+            item, band = keys >> 40, keys & ((1 << 40) - 1)
+            low = band * (self.edits[item] + 1) - lead
+            over = low + widest + self.size[item] < (run[stop] if stop < len(run) else np.iinfo(np.int64).max)
+            yield from self._merged(item[over], band[over], counts[over], starts, lead)
+            keys, counts = keys[~over], counts[~over]
+
+    def _shared(self, first: np.ndarray, last: np.ndarray, found: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+        """item << 40 | band, and how many places of the item have their gram on the band's diagonals, for each pair of a run in the data and one in an item."""
         n = self.count[found]
         post = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at, item, place = np.repeat(at, n), self.item[post], self.place[post]
-        step = self.edits[item] + 1
-        lead = int(self.size.max())
-        band = (at - place + lead) // step
-        keys = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
-        # A position of the benchmark text counts once in a band.
-        whole = _distinct(keys, np.concatenate([place, place]))
-        key, count = np.unique(whole, return_counts=True)
-        item, band = key >> 40, key & ((1 << 40) - 1)
+        first, last, item, p1 = np.repeat(first, n), np.repeat(last, n), self.item[post], self.place[post]
+        p2, step = p1 + self.length[post] - 1, self.edits[item] + 1
+        low, high = np.maximum((first - p2 + lead) // step - 1, 0), (last - p1 + lead) // step
+        n = high - low + 1
+        pair = np.repeat(np.arange(len(n)), n)
+        band = low[pair] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        d0 = band * step[pair] - lead
+        count = np.minimum(p2[pair], last[pair] - d0) - np.maximum(p1[pair], first[pair] - d0 - 2 * step[pair] + 1) + 1
+        return item[pair] << 40 | band, np.maximum(count, 0)
+
+    def _merged(self, item: np.ndarray, band: np.ndarray, count: np.ndarray, starts: np.ndarray, lead: int) -> Iterator[tuple[int, int, int, int]]:
         ok = count >= self.need[item]
-        for i, b in zip(item[ok].tolist(), band[ok].tolist(), strict=True):
+        item, band = item[ok], band[ok]
+        if not len(item):
+            return
+        most = np.maximum(REGION // (self.edits[item] + 1), 1)
+        cut = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (band[1:] != band[:-1] + 1) | (band[1:] // most[1:] != band[:-1] // most[1:])))
+        for i, b0, b1 in zip(item[cut].tolist(), band[cut].tolist(), band[np.append(cut[1:], len(band)) - 1].tolist(), strict=True):
             k = int(self.edits[i])
-            low = b * (k + 1) - lead
-            high = low + 2 * (k + 1) + int(self.size[i]) + k
-            # A band's grams may lie in two texts.
+            low, high = b0 * (k + 1) - lead, b1 * (k + 1) - lead + 2 * (k + 1) + int(self.size[i]) + k
+            # A band's grams may lie in several texts.
             first = max(0, int(np.searchsorted(starts, low, side="right")) - 1)
             last = max(0, int(np.searchsorted(starts, high, side="right")) - 1)
             for doc in range(first, last + 1):
                 yield doc, i, low - k, high
 
 
-def _distinct(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
-    order = np.lexsort((place, keys))
-    keys, place = keys[order], place[order]
-    return keys[np.append(True, (keys[1:] != keys[:-1]) | (place[1:] != place[:-1]))] if len(keys) else keys
+def _runs_of(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one gram at neighbouring places of the texts: gram, first place, length, text."""
+    gram = np.concatenate([*grams, np.zeros(0, np.uint64)])
+    sizes = np.array([len(g) for g in grams], np.int64)
+    text = np.repeat(np.arange(len(grams)), sizes)
+    place = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if not len(gram):
+        return gram, place, place, text
+    new = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])))
+    return gram[new], place[new], np.diff(np.append(new, len(gram))), text[new]
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -207,7 +252,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     number of bytes; no shuffle.
 
     Null and empty texts and benchmark texts give no rows; documents with a null id are left out; repeated rows each
-    give theirs; either table empty gives no rows; other columns are ignored.
+    give theirs; either table empty gives no rows; a very long text is searched whole, in pieces; other columns are
+    ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     out = None
@@ -232,7 +278,11 @@ def _scan(src: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark text; all columns stay."""
+    """docs without those that hold a benchmark text; all columns stay, whatever their names.
+
+    Null and empty texts and null ids stay; repeated rows stay or go together; an empty table of either kind changes
+    nothing; a very long text is searched whole, in pieces.
+    """
     out = docs
     for items in _blocks(benchmark):
         out = _without(out, items, text_col)
