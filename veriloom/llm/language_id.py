@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -24,7 +23,6 @@ LEAST_SCORE = 0.5
 
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -99,7 +97,7 @@ class Trees:
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(texts)), best]
         score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-        none = np.array([_LETTER.search(t) is None for t in texts])
+        none = np.array([not any(map(str.isalpha, t)) for t in texts])
         return [UNKNOWN if x else self.langs[k] for k, x in zip(best, none, strict=True)], np.where(none, 0.0, score), least / np.maximum([len(b) for b in blobs], 1)
 
 
@@ -185,7 +183,8 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
 
     The trees hold every context of the bounded samples and no empty cells, and go to all tasks; a map over the rows, no shuffle.
     ``und`` with score 0 if a text is null or has no letter or nothing was learned; ties go to the smaller
-    language; a null id stays null; repeated rows each have a row; an empty table gives no rows; other columns are ignored.
+    language; a null id stays null; repeated rows each have a row; an empty table gives no rows; a very long text is
+    scored whole, a stretch at a time; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
@@ -201,7 +200,11 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, trees: Trees, least_score: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text has no known language or whose score is under least_score; columns as they are."""
+    """docs without the rows whose text has no known language or whose score is under least_score; columns as they are, whatever their names.
+
+    Null and empty texts and texts without a letter go, null ids stay; repeated rows stay or go together; an empty table
+    gives no rows, and without a learned language none stays; a very long text is scored whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trees.shared())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
