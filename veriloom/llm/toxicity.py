@@ -43,7 +43,7 @@ def distinct_words(text: str) -> set[str]:
 def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier over the presence of features, from positive and unlabelled rows.
 
-    With sigmoid losses l+ and l-, the risk is prior * P[l+] + max(0, U[l-] - prior * P[l-]): unlabelled rows count as
+    With logistic losses l+ and l-, the risk is prior * P[l+] + max(0, U[l-] - prior * P[l-]): unlabelled rows count as
     negatives, corrected by the share `prior` of positives among them. Mini-batches with Adam.
     """
     rng = np.random.default_rng(SEED)
@@ -141,7 +141,8 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     n = known.agg(F.count("*").alias("all"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic")).head()
     if not n["toxic"]:
         return Model({}, -30.0)
-    prior = min(max(n["toxic"] / n["all"], 0.005), 0.5)
+    # A prior of 0 or 1 has no odds.
+    prior = min(max(n["toxic"] / n["all"], 1e-6), 1 - 1e-6)
     total = docs.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit("pu")), F.lit(1 << 20))
     chosen = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
