@@ -1,10 +1,13 @@
 import pytest
 
-from veriloom.plans.oracles import ORACLES
-from veriloom.plans.queries import QUERIES
+from veriloom.plans import oracles, queries
+from veriloom.plans.record_oracles import RECORD_ORACLES
+from veriloom.plans.record_queries import RECORD_QUERIES
 
 from .oracle import DATA, same
 
+QUERIES, ORACLES = queries.QUERIES | RECORD_QUERIES, oracles.ORACLES | RECORD_ORACLES
+
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)

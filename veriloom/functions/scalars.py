@@ -59,10 +59,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_similarity(a: Column | str, b: Column | str) -> Column:
-    """dot(a, b) / sqrt(dot(a, a) * dot(b, b)); null for a vector of zeros."""
+def cosine_similarity(a: Column | str, b: Column | str, b_squared: Column | None = None) -> Column:
+    """dot(a, b) / sqrt(dot(a, a) * dot(b, b)); null for a vector of zeros. b_squared: dot(b, b), where it is known."""
     a, b = c(a), c(b)
-    norm = F.sqrt(dot(a, a) * dot(b, b))
+    norm = F.sqrt(dot(a, a) * (dot(b, b) if b_squared is None else b_squared))
     return F.when(norm > 0, dot(a, b) / norm)
 
 
@@ -71,10 +71,6 @@ def vector_text(v: Column | str) -> Column:
     return F.concat(F.lit("["), F.array_join(c(v).cast("array<string>"), ","), F.lit("]"))
 
 
-def vector_of(text: Column | str) -> Column:
-    return F.from_json(c(text), "array<float>")
-
-
 def bytes_hex(x: Column | str) -> Column:
     """Lower-case hex, two digits a byte, of an array of integers."""
     return F.array_join(F.transform(c(x), lambda b: F.lower(F.lpad(F.hex(b.cast("long")), 2, "0"))), "")
@@ -252,6 +248,22 @@ def title_or_file(title: Column | str, file_name: Column | str) -> Column:
     return F.coalesce(or_else(title), F.substring_index(c(file_name), ".", 1))
 
 
+def progress_percent(x: Column | str) -> Column:
+    """Rounded half up."""
+    return F.floor(c(x) + 0.5)
+
+
+def seeded_token(seed: str, *keys: Column | str) -> Column:
+    """64 hex digits that follow from the seed and the keys, so reruns agree; null keys are left out."""
+    return F.sha2(F.concat_ws("|", F.lit(seed), *[c(k).cast("string") for k in keys]), 256)
+
+
+def search_route(content_type: Column | str) -> Column:
+    """By the request's type: a form with an image, a JSON text, or neither."""
+    has = lambda part: F.coalesce(c(content_type).contains(part), F.lit(False))
+    return F.when(has("multipart/form-data"), "image").when(has("application/json"), "text").otherwise("unsupported")
+
+
 def page_window(page: Column | str, pages: Column | str, most: int = 7) -> Column:
     """The numbers of the page buttons: at most so many, around the page."""
     first = F.greatest(F.lit(1), c(page) - most // 2)

@@ -38,6 +38,11 @@ def bought(purchases: DataFrame, listing: DataFrame) -> DataFrame:
     return purchases.join(media, "media_id")
 
 
+def with_thumbnails(listing: DataFrame, objects: DataFrame) -> DataFrame:
+    """listing with thumbnail, null where there is none; objects: media_id, thumbnail, of which the first by name counts."""
+    return listing.join(objects.groupBy("media_id").agg(F.min("thumbnail").alias("thumbnail")), "media_id", "left")
+
+
 def exactly_one(rows: DataFrame, optional: bool = False):
     """The only row; an error for more than one, and for none unless optional."""
     got = rows.limit(2).collect()

@@ -25,6 +25,14 @@ def state_counts(jobs: DataFrame) -> DataFrame:
     return states.join(jobs.groupBy("state").agg(F.count("*").alias("n")), "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def enqueue(queue: DataFrame, requests: DataFrame) -> DataFrame:
+    """queue (job_id, state, progress) with a waiting job for each request (job_id) that it doesn't have yet; attempts and backoff_ms are null for the others."""
+    new = requests.select("job_id").distinct().join(queue.select("job_id"), "job_id", "left_anti")
+    new = new.select("job_id", F.lit("waiting").alias("state"), F.lit(0).alias("progress"), F.lit(ATTEMPTS).alias("attempts"), F.lit(BACKOFF_MS).alias("backoff_ms"))
+    none = F.lit(None).cast("int")
+    return queue.select("job_id", "state", "progress", none.alias("attempts"), none.alias("backoff_ms")).union(new)
+
+
 def retained(jobs: DataFrame, now: Column, policy: dict[str, tuple[int, int | None]]) -> DataFrame:
     """jobs with kept: finished jobs go when they are too old or beyond the newest so many of their state; others stay.
 

@@ -19,17 +19,24 @@ def similarities(vectors: DataFrame, media: DataFrame, query: list[float] | Data
     public = media.where("is_public = true")
     rows = vectors.where("embedding is not null").join(public, "media_id")
     if isinstance(query, DataFrame):
-        one = query.limit(2).withColumn("norm", dot(F.col("query"), F.col("query")))
-        rows = rows.crossJoin(F.broadcast(one))  # one row by contract
+        # One row, else an error when it runs.
+        one = query.agg(F.collect_list("query").alias("q")).select(F.when(F.size("q") == 1, F.col("q")[0]).otherwise(F.raise_error(F.lit("one query vector expected"))).alias("query"))
+        rows = rows.crossJoin(F.broadcast(one.withColumn("norm", dot(F.col("query"), F.col("query")))))
         q: Column = F.col("query")
+        squared: Column | None = F.col("norm")
     else:
-        q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("similarity", cosine_similarity(F.col("embedding"), q)).where("similarity is not null").drop("query", "norm", "embedding")
+        q, squared = F.array(*[F.lit(float(x)) for x in query]), F.lit(float(sum(x * x for x in query)))
+    return rows.withColumn("similarity", cosine_similarity(F.col("embedding"), q, squared)).where("similarity is not null").drop("query", "norm", "embedding")
 
 
 def search_similar(vectors: DataFrame, media: DataFrame, query: list[float] | DataFrame, k: int = 20) -> DataFrame:
-    """The k nearest public records, nearest first, ties to the smaller id: a distributed top-k, no full sort."""
-    return similarities(vectors, media, query).orderBy(F.col("similarity").desc(), "media_id").limit(k).select("media_id", "similarity", *LISTED)
+    """The k nearest public records, nearest first, ties to the smaller id: a distributed top-k, no full sort.
+
+    The top-k sees ids and flags only; the columns that are shown are read for its k rows.
+    """
+    best = similarities(vectors, media.select("media_id", "is_public"), query).orderBy(F.col("similarity").desc(), "media_id").limit(k).select("media_id", "similarity")
+    shown = media.where("is_public = true").select("media_id", *LISTED)
+    return shown.join(F.broadcast(best), "media_id").orderBy(F.col("similarity").desc(), "media_id").limit(k).select("media_id", "similarity", *LISTED)  # k rows
 
 
 def insert_if_absent(vectors: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -91,8 +91,9 @@ SELECT original_hash, media_id, title, CASE WHEN media_id % 3 = 0 THEN price_lam
     "job_retention": f"""WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY ts DESC, job_id DESC) AS k FROM last)
 SELECT job_id, state, CASE state WHEN 'completed' THEN k <= 1000 AND ts >= {_NOW} - INTERVAL 86400 SECONDS WHEN 'failed' THEN ts >= {_NOW} - INTERVAL 604800 SECONDS ELSE true END AS kept FROM r""",
     "leaf_index": "SELECT event_id, user_id % 8 AS tree, CAST(CASE WHEN user_id % 8 < 7 THEN user_id % 8 * 100 ELSE 0 END + row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS BIGINT) AS leaf_index FROM events",
-    "mint_replay": """WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents), q AS (SELECT event_id, ts, user_id % 8 AS tree, h FROM events JOIN d ON d.doc_id = event_id * 7 % (SELECT count(*) FROM documents)),
-x AS (SELECT *, h IN (SELECT h FROM d WHERE doc_id % 5 = 0) AS taken, row_number() OVER (PARTITION BY h ORDER BY ts, event_id) AS k FROM q),
+    "mint_replay": """WITH d AS MATERIALIZED (SELECT doc_id, sha256(text) AS h FROM documents), n AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+a AS MATERIALIZED (SELECT event_id, ts, user_id % 8 AS tree, event_id * 7 % n AS doc_id FROM events, n), t AS MATERIALIZED (SELECT DISTINCT h, true AS taken FROM d WHERE doc_id % 5 = 0),
+x AS MATERIALIZED (SELECT event_id, ts, tree, d.h, coalesce(taken, false) AS taken, row_number() OVER (PARTITION BY d.h ORDER BY ts, event_id) AS k FROM a JOIN d ON d.doc_id = a.doc_id LEFT JOIN t ON t.h = d.h),
 m AS (SELECT event_id, CAST(CASE WHEN tree < 7 THEN tree * 100 ELSE 0 END + row_number() OVER (PARTITION BY tree ORDER BY ts, event_id) - 1 AS BIGINT) AS leaf_index FROM x WHERE NOT taken AND k = 1)
 SELECT event_id, CASE WHEN taken THEN 'exists' WHEN k > 1 THEN 'earlier_job' ELSE 'minted' END AS reason, leaf_index IS NOT NULL AS success, CASE WHEN leaf_index IS NULL THEN 5 ELSE 100 END AS progress, leaf_index FROM x LEFT JOIN m USING (event_id)""",
     "json_progress": f"WITH {_JOBS} SELECT job_id, state, progress FROM last",
