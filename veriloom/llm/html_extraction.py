@@ -16,12 +16,13 @@ from .common import emit, in_batches, text_batches, texts_of
 # HTML's element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+OPEN_ENDED = set("svg math template noscript".split())
 BLOCK = set(
     "html body article section main header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset blockquote pre figure figcaption address details summary hr center dialog menu search hgroup legend optgroup option select button".split()
 )
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("ul ol dl table tbody thead tfoot select div article section main body".split())
-# Parts that aren't the article, by element, role and word of a class or id.
+# Parts that aren't the article, by element, role and word of a class or id.
 ASIDE = set("nav footer aside button select option menu dialog search head".split())
 #: Like a listed role or word, these mark a part only if it isn't the one with most of the page's prose.
 ASIDE_MAYBE = set("form fieldset".split())
@@ -173,8 +174,8 @@ class Page:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
             if attributes.endswith("/") and tag in ("svg", "math"):
                 return at
-            if not end:
-                return len(html)
+            if not end:  # the others end with the page only where browsers read them as text
+                return at if tag in OPEN_ENDED else len(html)
             close = html.find(">", end.end())
             return close + 1 if close >= 0 else len(html)
         if tag == "br":
@@ -284,7 +285,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """Main text of every whole page: page_id, url, text, n_chars (code points). A map over the rows: no shuffle.
 
     A null or empty html, and a page without an article, give an empty text; null ids and urls stay null; repeated rows
-    each have a row; an empty table gives no rows; other columns are ignored.
+    each have a row; an empty table gives no rows; a very long page is read whole; other columns are ignored.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
