@@ -142,16 +142,28 @@ def search(tree: Tree, ids: np.ndarray, raw: np.ndarray, asked: np.ndarray, aske
     return query, best_id[query, rank], best[query, rank]
 
 
+def tree_pairs(queries: DataFrame, trees: DataFrame) -> DataFrame:
+    """id, block, dim, cell, part: the trees that may hold a vector within a query's reach.
+
+    queries: id, x, block, reach, near (distances to the cells' pivots); trees: dim, cell, part, radius around the pivot.
+    """
+    narrow = queries.select("id", "block", F.size("x").alias("dim"), "reach", "near")
+    within = F.coalesce(F.get("near", F.col("cell")) - F.col("radius") <= F.col("reach"), F.lit(True))
+    return narrow.join(trees, "dim").where(within).select("id", "block", "dim", "cell", "part")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", component_col: str = "x") -> DataFrame:
     """The k best vectors of each query by integer inner product, the query's own id left out, ties to the smaller id.
 
     vectors and queries: an id and an array of integers. Vectors are dealt to trees by their nearest pivot and, within
     a pivot's cell, by hash into trees of about TREE vectors, so a hot cell has many trees. Each tree's pages are built
     and searched in one task for a block of queries; a block has about BLOCK queries. A bounded sample of the vectors
-    gives each query a score that its k-th best can't fall below; trees leave out what is under it.
+    gives each query a score that its k-th best can't fall below; a query skips the trees whose radius around their
+    pivot keeps all vectors under it, and the others leave out what is under it.
 
     Columns: query_id, rank (from 1), vec_id, score. Vectors of another length than the query's take no part; null ids
-    are left out; a repeated id counts once; fewer vectors than k give all; either table empty gives no rows.
+    are left out; a repeated id counts once; fewer vectors than k give all; either table empty gives no rows; other
+    columns are ignored.
     Components must keep the inner products within 64 bits.
     """
     tidy = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(component_col).cast("array<long>").alias("x")).where("id is not null and x is not null")
@@ -164,30 +176,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     norm = F.aggregate("x", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))
     most = float(vecs.agg(F.max(norm)).head()[0] or 0.0)
     sample = spark.sparkContext.broadcast((some["id"].to_numpy(np.int64), [np.asarray(x, np.int64) for x in some["x"]]))
-    blocks, trees = max(1, -(-n_queries // BLOCK)), "id long, x array<long>, dim int, cell int"
+    blocks, trees = max(1, -(-n_queries // BLOCK)), "id long, x array<long>, dim int, cell int, away double"
 
     def deal(parts):
         _, xs = sample.value
         for pdf in parts:
             dims = np.array([len(x) for x in pdf["x"]], np.int64)
-            cell = np.zeros(len(pdf), np.int64)
+            cell, away = np.zeros(len(pdf), np.int64), np.full(len(pdf), np.inf)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 pivots = [x for x in xs[:PIVOTS] if len(x) == dim]
                 if pivots and dim:
-                    x, p = matrix(pdf["x"].iloc[at]).astype(np.float64), np.stack(pivots).astype(np.float64)
+                    x, p = lifted(matrix(pdf["x"].iloc[at]), most), lifted(np.stack(pivots), most)
                     cell[at] = ((p * p).sum(axis=1)[None, :] - 2 * x @ p.T).argmin(axis=1)
-            yield pdf.assign(dim=dims.astype(np.int32), cell=cell.astype(np.int32))
+                    away[at] = distances(x, p[cell[at]])
+            yield pdf.assign(dim=dims.astype(np.int32), cell=cell.astype(np.int32), away=away)
 
     celled = written(vecs.mapInPandas(deal, trees), "cells")
     cells = celled.groupBy("dim", "cell").agg(F.count("*").alias("n"))
     split = F.pmod(F.xxhash64("id", F.lit("tree")), F.ceil(F.col("n") / TREE)).cast("int")
-    placed = celled.join(cells, ["dim", "cell"]).select("id", "x", "dim", "cell", split.alias("part"))
+    placed = celled.join(cells, ["dim", "cell"]).select("id", "x", "dim", "cell", split.alias("part"), "away")
 
     def first_bound(parts):
         ids, xs = sample.value
         for pdf in parts:
             floors = pd.Series(pd.NA, index=pdf.index, dtype="Int64")
+            reach, near = pd.Series(np.inf, index=pdf.index), pd.Series([np.zeros(0)] * len(pdf), index=pdf.index)
             dims = pdf["x"].map(len)
             for dim in dims.unique():
                 own = pdf[dims == dim]
@@ -196,13 +210,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
                     scores = matrix(own["x"]) @ np.stack([xs[i] for i in same]).T
                     scores[own["id"].to_numpy(np.int64)[:, None] == ids[same]] = np.iinfo(np.int64).min
                     floors[own.index] = np.partition(scores, -k, axis=1)[:, -k]
-            yield pdf.assign(floor=floors)
-
-    bounded = written(asked.mapInPandas(first_bound, "id long, x array<long>, floor long").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")), "bounded")
-    each = written(placed.groupBy("dim", "cell", "part").agg(F.count("*").alias("n")), "trees").select("dim", "cell", "part")
-    # The stated queries go to all trees, in blocks: a tree meets each block of queries once.
-    sides = bounded.withColumn("dim", F.size("x")).join(each, "dim")
-    left = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+                pivots = [x for x in xs[:PIVOTS] if len(x) == dim]
+                if dim and pivots:
+                    q = matrix(own["x"]).astype(np.float64)
+                    to = ((q * q).sum(axis=1) + most)[:, None] - 2 * q @ np.stack(pivots).astype(np.float64).T
+                    near[own.index] = list(np.sqrt(np.maximum(to, 0)))
+                    far = (q * q).sum(axis=1) + most
+                    bound = np.sqrt(np.maximum(far - 2 * floors[own.index].fillna(NO_FLOOR).to_numpy(np.float64), 0))
+                    reach[own.index] = bound + 1e-6 * (np.sqrt(far) + 1)
+            yield pdf.assign(floor=floors, reach=reach, near=near)
+
+    bounded = written(asked.mapInPandas(first_bound, "id long, x array<long>, floor long, reach double, near array<double>").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")), "bounded")
+    each = written(placed.groupBy("dim", "cell", "part").agg(F.max("away").alias("radius")), "trees")
+    pairs = written(tree_pairs(bounded, each), "pairs")
+    # A tree meets each block that has queries for it once; its vectors go to those blocks only.
+    sides = pairs.join(bounded.select("id", "x", "floor"), "id")
+    left = placed.drop("away").join(written(pairs.select("dim", "cell", "part", "block").distinct(), "meetings"), ["dim", "cell", "part"])
 
     def run(vec: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(vec) or not len(ask) or not len(vec["x"].iloc[0]):
