@@ -1,6 +1,8 @@
 """A corpus pipeline: known languages, one document of each near-duplicate class, no benchmark texts, no secrets, mixed to target weights.
 
-Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again as the next one's docs. In all of them
+an empty table gives no rows, very long texts count whole, null ids are rows like others, and columns beside those of
+documents stay as they are (but for rate and copies, which the last stage sets).
 """
 
 from __future__ import annotations
@@ -15,27 +17,27 @@ COPY_WORDS, COPY_THRESHOLD = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose best language scores too low; languages are learned from the documents' own labels."""
+    """Drops documents without a letter and those whose best language scores too low; languages are learned from the documents' own labels. Null and empty texts go; repeated rows stay or go together."""
     return language_id.keep_known(docs, language_id.learn(language_id.learning_rows(docs)))
 
 
 def first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each near-duplicate class."""
+    """Keeps the document with the least doc_id of each near-duplicate class. Null and empty texts and null ids stay; of repeated rows one stays."""
     return jaccard_join.keep_first(docs, words=COPY_WORDS, threshold=COPY_THRESHOLD)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark text."""
+    """Drops documents that hold a benchmark text. Null and empty texts stay; repeated rows stay or go together."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts by their kind; n_chars follows."""
+    """Replaces secrets in the texts by their kind; n_chars follows. All rows stay, null and clean texts as they are."""
     return secret_scans.redact_secrets(docs, length_col="n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their rate and number of copies."""
+    """The documents that the mix takes, with their rate and number of copies. A null source is a source of its own; repeated rows get equal copies."""
     return mixing.with_copies(docs)
 
 
