@@ -110,8 +110,8 @@ class Bands:
         shown = np.maximum(apart + 1 - 2 * p, 0)
         plain = np.where(shown > 1, np.ceil(SPARE * shown), shown).astype(np.int64)
         tokens = (low + high) / 2 / (p + plain)
-        both_empty = lambda x: np.exp(-2 * np.maximum(x, 0))
-        chance = shown * COMMON ** (tokens * plain / np.maximum(shown, 1)) + p * (tokens + 1) ** 2 * (both_empty(tokens - 1) + COMMON ** np.maximum(tokens - 1, 1e-9))
+        both_empty = (1 - 1 / (p + plain)) ** (2 * (low - 1))
+        chance = shown * COMMON ** (tokens * plain / np.maximum(shown, 1)) + p * (tokens + 1) ** 2 * (both_empty + COMMON ** np.maximum(tokens - 1, 1e-9))
         cost = shown + p * (1 + tokens) + CANDIDATE_COST * sets / len(self.edges) * chance
         k = int(cost.argmin())
         return int(p[k]), int(plain[k]), int(shown[k])
