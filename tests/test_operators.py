@@ -157,6 +157,30 @@ def test_retention_retry_and_polling(spark):
     assert [r[0] for r in o.select(jobs.poll_outcome(F.col("s"), F.col("ok"), F.col("t"))).collect()] == ["success", "failure", "pending", "timeout"]
 
 
+def test_leaf_places_over_days(spark):
+    """A busy tree over several days, times that tie, null times first, and a null tree."""
+    day = dt.datetime(2024, 1, 1)
+    rows = [(t if t < 2 else None, None if k % 11 == 0 else day + dt.timedelta(hours=k * 7 % 90 // 3), 100 * t + k) for t, n in ((0, 60), (1, 2), (2, 9)) for k in range(n)]
+    jobs_in = spark.createDataFrame(rows, "tree long, ts timestamp, event_id long")
+    want = []
+    for tree, first in ((0, 500), (1, 0), (None, 0)):
+        ordered = sorted((r for r in rows if r[0] == tree), key=lambda r: (r[1] is not None, r[1] or day, r[2]))
+        want += [(r[2], first + k) for k, r in enumerate(ordered)]
+    minted = spark.createDataFrame([(0, 500)], "tree long, num_minted long")
+    assert got(jobs.leaf_indexes(jobs_in, minted), "event_id", "leaf_index") == sorted(want)
+
+
+def test_walk_kinds_and_nulls(spark):
+    """Parents and starts of another number type than nodes, a null start, and many starts that have arrived."""
+    edges = spark.createDataFrame([(1, 2), (2, None)], "node long, parent int")
+    starts = spark.createDataFrame([(1,), (2,), (None,)] + [(k,) for k in range(10, 40)], "start int")
+    rows = manifests.root_walk(edges, starts).collect()
+    assert {(r["start"], r["root"], r["depth"]) for r in rows} == {(1, 2, 1), (2, 2, 0), (None, None, 0)} | {(k, k, 0) for k in range(10, 40)} and len(rows) == 33
+    own = spark.createDataFrame([(2, "two"), (11, "eleven")], "node int, thumbnail string")
+    shown = manifests.root_thumbnail(edges.withColumn("ingredient_thumbnail", F.lit("")), starts, own).where("thumbnail is not null")
+    assert got(shown, "start", "thumbnail") == [(1, "two"), (2, "two"), (11, "eleven")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = views.jobs(spark, f"{DATA}/sf0.001")
     events.repartition(3).write.parquet(str(tmp_path / "in"))

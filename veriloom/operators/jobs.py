@@ -62,12 +62,16 @@ def poll_outcome(state: Column, success: Column, seconds: Column, most: int = 12
 def leaf_indexes(jobs: DataFrame, minted: DataFrame) -> DataFrame:
     """jobs with leaf_index: the tree's counter plus the job's place in its tree's queue by (ts, event_id).
 
-    jobs: tree, ts, event_id; minted: tree, num_minted. One tree is serial by its nature; the window sees keys only and
-    the trees run side by side.
+    jobs: tree, ts (a time or date), event_id; minted: tree, num_minted. A place is the number of the tree's jobs on
+    earlier days plus the place within the day, so a busy tree is ordered a day at a time, side by side; over a whole
+    tree only its days are ordered. The windows see keys only.
     """
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("ts", "event_id")) - 1
-    keys = jobs.select("tree", "ts", "event_id").withColumn("place", place)
-    return jobs.join(keys.select("event_id", "place"), "event_id").join(minted, "tree", "left").select(*jobs.columns, (F.coalesce("num_minted", F.lit(0)) + F.col("place")).cast("long").alias("leaf_index"))
+    keys = jobs.select("tree", "ts", "event_id", F.to_date("ts").alias("day"))
+    rank = F.row_number().over(Window.partitionBy("tree", "day").orderBy("ts", "event_id")) - 1
+    earlier = F.sum("n").over(Window.partitionBy("tree").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = keys.groupBy("tree", "day").agg(F.count("*").alias("n")).select(F.col("tree").alias("d_tree"), F.col("day").alias("d_day"), F.coalesce(earlier, F.lit(0)).alias("before"))
+    ranked = keys.withColumn("rank", rank).join(days, F.col("tree").eqNullSafe(F.col("d_tree")) & F.col("day").eqNullSafe(F.col("d_day")))
+    return jobs.join(ranked.select("event_id", (F.col("rank") + F.col("before")).alias("place")), "event_id").join(minted, "tree", "left").select(*jobs.columns, (F.coalesce("num_minted", F.lit(0)) + F.col("place")).cast("long").alias("leaf_index"))
 
 
 def replay(jobs: DataFrame, existing: DataFrame, minted: DataFrame) -> DataFrame:

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.functions.scalars import action_display, missing, or_else
 
 #: Hops to a parent at most.
 GUARD = 11
+#: Values of the key that spreads rows without a node over the tasks.
+SPREAD = 1024
+#: A spec table of at most so many rows is broadcast.
+BROADCAST_SPECS = 10_000
+
+
+def _spread(node: Column, start: Column | None = None) -> Column:
+    """A second join key that follows from the node; without a node from the start, so that those rows don't all meet in one task."""
+    return F.pmod(F.xxhash64(node if start is None else F.coalesce(node, start)), F.lit(SPREAD))
 
 
 def root_walk(edges: DataFrame, starts: DataFrame, most: int = GUARD) -> DataFrame:
     """start, root, depth: from each start up the parents until none is left or after `most` hops.
 
     edges: node, parent (null at a root). An equi-join a hop; those that have arrived keep a null key, so later joins
-    pass them by. A start that isn't in edges is its own root.
+    pass them by, spread by their starts. A start that isn't in edges is its own root.
     """
-    up = edges.where("node is not null and parent is not null").select("node", "parent")
-    walk = starts.select("start", F.col("start").alias("root"), F.col("start").alias("at"), F.lit(0).alias("depth"))
+    kind = edges.schema["node"].dataType
+    start = F.col("start").cast(kind)
+    up = edges.where("node is not null and parent is not null").select("node", "parent", _spread(F.col("node")).alias("n_spread"))
+    walk = starts.select("start", F.col("start").alias("root"), start.alias("at"), F.lit(0).alias("depth"))
     for _ in range(most):
-        step = walk.join(up, walk["at"] == up["node"], "left")
-        walk = step.select("start", F.coalesce("parent", "root").alias("root"), F.col("parent").alias("at"), (F.col("depth") + F.col("parent").isNotNull().cast("int")).alias("depth"))
+        step = walk.withColumn("spread", _spread(F.col("at"), start)).join(up, (F.col("at") == F.col("node")) & (F.col("spread") == F.col("n_spread")), "left")
+        walk = step.select("start", F.coalesce("parent", "root").alias("root"), F.col("parent").cast(kind).alias("at"), (F.col("depth") + F.col("parent").isNotNull().cast("int")).alias("depth"))
     return walk.select("start", "root", "depth")
 
 
@@ -31,12 +42,15 @@ def root_thumbnail(edges: DataFrame, starts: DataFrame, thumbnails: DataFrame, m
     edges: node, parent, ingredient_thumbnail; thumbnails: node, thumbnail. At a node with a parent the parent's result
     counts, else the ingredient's thumbnail, else the node's own; past the guard there is none. Empty ones are missing.
     """
-    up = edges.where("node is not null").select("node", "parent", F.col("ingredient_thumbnail").alias("i"))
-    own = thumbnails.select(F.col("node").alias("n"), F.col("thumbnail").alias("t"))
-    walk = starts.select("start", F.col("start").alias("at"), F.lit(None).cast("string").alias("thumbnail"))
+    kind = edges.schema["node"].dataType
+    start, shown = F.col("start").cast(kind), F.col("node").cast(kind)
+    up = edges.where("node is not null").select("node", "parent", F.col("ingredient_thumbnail").alias("i"), _spread(F.col("node")).alias("n_spread"))
+    own = thumbnails.select(shown.alias("n"), F.col("thumbnail").alias("t"), _spread(shown).alias("o_spread"))
+    walk = starts.select("start", start.alias("at"), F.lit(None).cast("string").alias("thumbnail"))
     for _ in range(most):
-        step = walk.join(up, walk["at"] == up["node"], "left").join(own, walk["at"] == own["n"], "left")
-        walk = step.select("start", F.col("parent").alias("at"), F.coalesce(or_else("i", "t"), F.col("thumbnail")).alias("thumbnail"))
+        step = walk.withColumn("spread", _spread(F.col("at"), start)).join(up, (F.col("at") == F.col("node")) & (F.col("spread") == F.col("n_spread")), "left")
+        step = step.join(own, (F.col("at") == F.col("n")) & (F.col("spread") == F.col("o_spread")), "left")
+        walk = step.select("start", F.col("parent").cast(kind).alias("at"), F.coalesce(or_else("i", "t"), F.col("thumbnail")).alias("thumbnail"))
     return walk.select("start", "thumbnail")
 
 
@@ -63,12 +77,13 @@ def group_assertions(assertions: DataFrame, key: str = "manifest_id") -> DataFra
 def match_spec(rows: DataFrame, specs: DataFrame, issuer: str = "issuer") -> DataFrame:
     """rows with spec_id: the first spec, by place, whose matcher the issuer holds (or that its regex finds); null if none.
 
-    specs (spec_id, place, matcher, is_regex) is a small table that is kept by hand; the distinct issuers are matched,
-    not the rows.
+    specs (spec_id, place, matcher, is_regex) is a small table that is kept by hand, counted before it is broadcast; the
+    distinct issuers are matched, not the rows.
     """
     names = rows.select(F.col(issuer).alias("name")).where("name is not null").distinct()
     hit = F.when(F.col("is_regex"), F.expr("name rlike matcher")).otherwise(F.contains("name", "matcher"))
-    found = names.join(F.broadcast(specs), hit).groupBy("name").agg(F.min_by("spec_id", "place").alias("spec_id"))
+    few = specs.limit(BROADCAST_SPECS + 1).count() <= BROADCAST_SPECS
+    found = names.join(F.broadcast(specs) if few else specs, hit).groupBy("name").agg(F.min_by("spec_id", "place").alias("spec_id"))
     return rows.join(found, rows[issuer] == found["name"], "left").drop("name")
 
 

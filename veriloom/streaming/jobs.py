@@ -23,7 +23,8 @@ def follow_states(events: DataFrame, table: str, checkpoint: str) -> StreamingQu
     """Keeps the latest state of all jobs in versioned folders under `table`, the newest named by the batch.
 
     foreachBatch may see a batch again after a failure; it writes that batch's folder anew from the one before it, so
-    reruns agree. Batches come one at a time, which is the serial order that the queue keeps.
+    reruns agree. Older folders than that are deleted. Batches come one at a time, which is the serial order that the
+    queue keeps. Each batch rewrites all jobs; where those are many, `latest_states` keeps them as state instead.
     """
 
     def step(batch: DataFrame, k: int) -> None:
@@ -32,5 +33,7 @@ def follow_states(events: DataFrame, table: str, checkpoint: str) -> StreamingQu
         if k:
             rows = rows.union(spark.read.parquet(f"{table}/batch={k - 1}").select(*rows.columns))
         latest(rows).write.mode("overwrite").parquet(f"{table}/batch={k}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={k - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
