@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+
+from veriloom.llm.common import BATCH_BYTES, written
 
 
 def kept_by_brute_force(docs, words, share):
@@ -42,3 +45,17 @@ def test_first_of_class_links_five_words_at_80(spark):
     got = {r["doc_id"] for r in corpus_pipeline.first_of_class(spark, df, "").collect()}
     want = kept_by_brute_force(docs, 5, 80)
     assert got == want and want != kept_by_brute_force(docs, 3, 90)
+
+
+def test_written_bounds_batches_and_restores_the_session(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    texts = spark.createDataFrame([(k, "x" * 100_000) for k in range(100)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    got = [r["bytes"] for r in written(texts.mapInArrow(sizes, "bytes long"), "sizes").collect()]
+    assert len(got) > 3 and max(got) <= BATCH_BYTES + 100_100 and sum(got) >= 10_000_000
+    assert spark.conf.get(key) == own

@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of more bytes are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch while a table is written: a task holds one in the JVM's native memory and one in Python.
+BATCH_BYTES = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, as Spark reads it (any file system)."""
@@ -29,11 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_BYTES at most for what runs inside the block; afterwards the session has its own bound again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. It stays there."""
+    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors. It stays there. Written in small Arrow batches."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,7 +83,7 @@ def fold(key: Column, folds: int) -> Column:
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow; Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch), and text_batches cuts it further."""
+    """df.mapInArrow; Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch; ``written`` lowers it), and text_batches cuts it further."""
     return df.mapInArrow(run, schema)
 
 
