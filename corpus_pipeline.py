@@ -1,7 +1,8 @@
 """A corpus pipeline: known languages, one document of each near-duplicate class, no benchmark texts, no secrets, mixed to target weights.
 
-Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again as the next one's docs. In all of them
-an empty table gives no rows, very long texts count whole, null ids are rows like others, and columns beside those of
+Each stage takes (spark, docs, sf_dir); its result is a Parquet table, read again as the next one's docs. Stages that
+pass texts through Python write it themselves, in small Arrow batches: whole files in one batch cost executors memory
+outside the heap. In all of them an empty table gives no rows, very long texts count whole, null ids are rows like others, and columns beside those of
 documents stay as they are (but for rate and copies, which the last stage sets).
 """
 
@@ -18,7 +19,7 @@ COPY_WORDS, COPY_THRESHOLD = 5, 80
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose best language scores too low; languages are learned from the documents' own labels. Null and empty texts go; repeated rows stay or go together."""
-    return language_id.keep_known(docs, language_id.learn(language_id.learning_rows(docs)))
+    return written(language_id.keep_known(docs, language_id.learn(language_id.learning_rows(docs))), "stage-language_id")
 
 
 def first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +29,12 @@ def first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark text. Null and empty texts stay; repeated rows stay or go together."""
-    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return written(decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark")), "stage-decontamination")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by their kind; n_chars follows. All rows stay, null and clean texts as they are."""
-    return secret_scans.redact_secrets(docs, length_col="n_chars")
+    return written(secret_scans.redact_secrets(docs, length_col="n_chars"), "stage-secret_scans")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = known_language(spark, table(spark, sf_dir, "documents"), sf_dir)
+    docs = written(first_of_class(spark, docs, sf_dir), "stage-jaccard_join")
+    docs = without_secrets(spark, without_benchmark(spark, docs, sf_dir), sf_dir)
+    return mixed(spark, docs, sf_dir)
