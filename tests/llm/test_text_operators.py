@@ -56,6 +56,8 @@ def test_trigram_queries():
 def test_redaction(spark):
     df = spark.createDataFrame([(1, 'token="abcdefghijklmnop" é', 26, "k"), (2, None, None, "k"), (3, "clean", 99, None)], "doc_id long, text string, n_chars long, kind string")
     assert [tuple(r) for r in secret_scans.redact_secrets(df, length_col="n_chars").collect()] == [(1, '[assign]" é', 11, "k"), (2, None, None, "k"), (3, "clean", 99, None)]
+    taken = df.selectExpr("*", "777L AS veriloom_len", "777L AS VERILOOM_LEN_")
+    assert [tuple(r)[-2:] for r in secret_scans.redact_secrets(taken, length_col="n_chars").collect()] == [(777, 777)] * 3
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site name, menu.</h1></header><nav><ul><li><a>Home, page.</a></li></ul></nav>

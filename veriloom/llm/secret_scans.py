@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, in_batches, joined, text_batches, texts_of
+from .common import emit, fresh, in_batches, joined, text_batches, texts_of
 
 #: A literal part of a rule is spelled out in so many strings at most; past that it is cut there.
 MOST_STRINGS = 16
@@ -86,7 +86,7 @@ def trigram_query(pattern: str) -> tuple:
         return held
 
     def of(held: set[str]) -> tuple:
-        return _any([_all([("tri", s[k : k + 3]) for k in range(len(s) - 2)]) for s in held])
+        return _any([_all([("tri", s[k : k + 3]) for k in range(len(s) - 2)]) for s in sorted(held)])
 
     def walk(nodes) -> tuple:
         parts, held = [], {""}
@@ -185,7 +185,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     regex on the texts that pass; a rule without mandatory trigrams (such as hex) reads all texts. A map: no shuffle.
 
     start and end count code points, end exclusive. A null text counts as empty and has no spans, as do texts without
-    secrets; a null id stays null; repeated rows each have a row; an empty table gives no rows; other columns are ignored.
+    secrets; a null id stays null; repeated rows each have a row; an empty table gives no rows; other columns are ignored;
+    a very long text is scanned whole, in a batch of its own.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
@@ -203,8 +204,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with every secret in the text replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    All rows and columns stay; null and clean texts stay as they are. length_col, if given, is set to the new length
-    of a text that changed.
+    All rows and columns stay, null ids and repeated rows too; null and clean texts stay as they are; an empty table gives
+    no rows; a very long text is scanned whole, in a batch of its own. length_col, if given, is set to the new length of a
+    text that changed.
     """
     schema = docs.schema
 
@@ -224,13 +226,14 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
 
     if not length_col:
         return in_batches(docs, run, schema)
-    old = docs.withColumn("veriloom_len", F.length(text_col))
+    before = fresh(docs, "veriloom_len")
+    old = docs.withColumn(before, F.length(text_col))
 
     def with_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
             at = batch.schema.get_field_index(length_col)
             new = pa.compute.utf8_length(batch.column(batch.schema.get_field_index(text_col)))
-            same = pa.compute.coalesce(pa.compute.equal(new, batch.column(batch.schema.get_field_index("veriloom_len"))), pa.scalar(True))
+            same = pa.compute.coalesce(pa.compute.equal(new, batch.column(batch.schema.get_field_index(before))), pa.scalar(True))
             length = pa.compute.if_else(same, batch.column(at), new.cast(batch.schema.field(at).type))
             yield batch.set_column(at, batch.schema.field(at), length)
 
