@@ -77,6 +77,13 @@ def few(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def measured_few(df: DataFrame) -> DataFrame:
+    """df to be broadcast if its rows, their texts measured, hold BROADCAST_BYTES at most, else as it is."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    held = df.agg(F.sum(sum(texts, F.lit(16 * len(df.columns))).cast("long"))).head()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))

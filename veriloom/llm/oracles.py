@@ -56,4 +56,18 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS D
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}"""
 
-ORACLES = {"op1_secret_scans": OP1, "op4_jaccard_join": OP4, "op7_topk_search": OP7, "op9_url_filters": OP9}
+OP11 = r"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+e AS MATERIALIZED (SELECT k, lang, source, unnest(ws) AS term FROM d), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM e GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term FROM e GROUP BY ALL HAVING count(DISTINCT k) >= 10), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1), g AS (SELECT DISTINCT lang, source FROM d),
+cells AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS MATERIALIZED (SELECT cells.lang, source, term, n, CAST(1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // (sum(n) OVER (PARTITION BY cells.lang, source) + 2 * v) AS BIGINT) AS p FROM cells JOIN v ON v.lang = cells.lang),
+a AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY ALL),
+q AS (SELECT a.lang, term, CAST(1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY a.lang) + 2 * v) AS BIGINT) AS q FROM a JOIN v ON v.lang = a.lang),
+s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10"""
+
+ORACLES = {"op1_secret_scans": OP1, "op4_jaccard_join": OP4, "op7_topk_search": OP7, "op9_url_filters": OP9, "op11_source_audit": OP11}
