@@ -2,6 +2,7 @@
 
 from .common import WORD
 from .jaccard_join import THRESHOLD, WORDS
+from .quality_rules import MOST_LINE_CHARS, MOST_NGRAM_CHARS, WINDOW
 from .secret_scans import BASE_RULES, RULES
 from .topk_search import K
 from .url_filters import RULES as URL_RULES
@@ -70,4 +71,22 @@ terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT * FROM r WHERE part = 'pair' OR rank <= 10"""
 
-ORACLES = {"op1_secret_scans": OP1, "op4_jaccard_join": OP4, "op7_topk_search": OP7, "op9_url_filters": OP9, "op11_source_audit": OP11}
+def _grams(n: int) -> str:
+    """Windows of n words with their places, how often the text holds each, and which of them it is."""
+    return f"""g{n} AS (SELECT *, count(*) OVER (PARTITION BY k, g) AS times, row_number() OVER (PARTITION BY k, g ORDER BY i) AS nth
+ FROM (SELECT k, unnest(range(1, len(ws) - {n - 2})) AS i, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS g FROM d)),
+c{n} AS (SELECT k, count(*) AS n, sum(length(ws[j])) AS chars FROM (SELECT DISTINCT k, unnest(range(i, i + {n})) AS j FROM g{n} WHERE {"times" if n == WINDOW else "nth"} > 1) JOIN d USING (k) GROUP BY k)"""
+
+
+_LENGTHS = [WINDOW, *MOST_NGRAM_CHARS]
+OP12 = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+{", ".join(map(_grams, _LENGTHS))},
+l AS (SELECT k, line, length(line) AS chars, row_number() OVER (PARTITION BY k, line) AS nth FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
+w AS (SELECT k, count(*) FILTER (WHERE nth > 1) AS n_dup_lines, CAST(sum(chars) AS BIGINT) AS line_chars, CAST(coalesce(sum(chars) FILTER (WHERE nth > 1), 0) AS BIGINT) AS dup_line_chars FROM l GROUP BY k),
+r AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+ coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c{WINDOW}.n, 0) AS n_repeat_words, coalesce(line_chars, 0) AS line_chars, coalesce(dup_line_chars, 0) AS dup_line_chars,
+ {", ".join(f"CAST(coalesce(c{n}.chars, 0) AS BIGINT) AS dup_{n}" for n in MOST_NGRAM_CHARS)} FROM d LEFT JOIN w USING (k) {" ".join(f"LEFT JOIN c{n} USING (k)" for n in _LENGTHS)}),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+SELECT *, NOT (base_failed OR 100 * dup_line_chars > {MOST_LINE_CHARS} * line_chars OR {" OR ".join(f"100 * dup_{n} > {m} * word_chars" for n, m in MOST_NGRAM_CHARS.items())}) AS kept FROM b"""
+
+ORACLES = {"op1_secret_scans": OP1, "op4_jaccard_join": OP4, "op7_topk_search": OP7, "op9_url_filters": OP9, "op11_source_audit": OP11, "op12_quality_rules": OP12}
