@@ -6,6 +6,7 @@ from .quality_rules import MOST_LINE_CHARS, MOST_NGRAM_CHARS, WINDOW
 from .secret_scans import BASE_RULES, RULES
 from .topk_search import K
 from .url_filters import RULES as URL_RULES
+from .vector_codes import ENTRIES, PARTS, ROUNDS
 
 
 def _spans() -> str:
@@ -89,4 +90,25 @@ r AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(w
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
 SELECT *, NOT (base_failed OR 100 * dup_line_chars > {MOST_LINE_CHARS} * line_chars OR {" OR ".join(f"100 * dup_{n} > {m} * word_chars" for n, m in MOST_NGRAM_CHARS.items())}) AS kept FROM b"""
 
-ORACLES = {"op1_secret_scans": OP1, "op4_jaccard_join": OP4, "op7_topk_search": OP7, "op9_url_filters": OP9, "op11_source_audit": OP11, "op12_quality_rules": OP12}
+def _assigned(k: int) -> str:
+    """The nearest entry of each part under the codebooks b<k>."""
+    return f"""a{k} AS MATERIALIZED (SELECT r, p, any_value(y) AS y, CAST(min(d) AS BIGINT) AS d, arg_min(k, d * {ENTRIES} + k) AS k FROM (
+ SELECT r, e.p, y, b.k, CAST(list_dot_product(y, y) - 2 * list_dot_product(y, c) + list_dot_product(c, c) AS HUGEINT) AS d FROM e JOIN b{k} b ON b.p = e.p) GROUP BY r, p)"""
+
+
+def _moved(k: int) -> str:
+    """The codebooks b<k + 1>: floors of the means, by component."""
+    return f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT p, k, list(CAST(floor(s / n) AS DOUBLE) ORDER BY j) AS c FROM (
+ SELECT p, k, j, sum(y[j]) AS s, count(*) AS n FROM a{k}, range(1, 1025) t(j) WHERE j <= len(y) GROUP BY ALL) GROUP BY p, k) m ON m.p = b.p AND m.k = b.k)"""
+
+
+OP13 = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT r, vec_id, p, x[p * len(x) // {PARTS} + 1:(p + 1) * len(x) // {PARTS}] AS y FROM v, range({PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT * FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, y AS c FROM e) WHERE k < {ENTRIES}),
+{", ".join(f"{_assigned(k)}, {_moved(k)}" for k in range(ROUNDS))}, {_assigned(ROUNDS)},
+o AS (SELECT r, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, k)) AS h FROM (SELECT p, k, array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',') AS t FROM b{ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN o ON o.r = v.r, h"""
+
+ORACLES = {"op1_secret_scans": OP1, "op4_jaccard_join": OP4, "op7_topk_search": OP7, "op9_url_filters": OP9, "op11_source_audit": OP11, "op12_quality_rules": OP12, "op13_vector_codes": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, language_id, mixing, quality_rules, secret_scans, source_audit, token_counts, topk_search, toxicity, url_filters
+from . import decontamination, html_extraction, jaccard_join, language_id, mixing, quality_rules, secret_scans, source_audit, token_counts, topk_search, toxicity, url_filters, vector_codes
 from .common import table
 
 
@@ -66,7 +66,11 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.measure_repetition(table(spark, sf_dir, "documents")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_html_extraction, op3_decontamination, op4_jaccard_join, op5_toxicity, op6_token_counts, op7_topk_search, op8_mixing, op9_url_filters, op10_language_id, op11_source_audit, op12_quality_rules)
+    for f in (op1_secret_scans, op2_html_extraction, op3_decontamination, op4_jaccard_join, op5_toxicity, op6_token_counts, op7_topk_search, op8_mixing, op9_url_filters, op10_language_id, op11_source_audit, op12_quality_rules, op13_vector_codes)
 }
