@@ -1,12 +1,14 @@
 import pytest
 
 from veriloom.plans import oracles, queries
+from veriloom.plans.flow_oracles import FLOW_ORACLES
+from veriloom.plans.flow_queries import FLOW_QUERIES
 from veriloom.plans.record_oracles import RECORD_ORACLES
 from veriloom.plans.record_queries import RECORD_QUERIES
 
 from .oracle import DATA, same
 
-QUERIES, ORACLES = queries.QUERIES | RECORD_QUERIES, oracles.ORACLES | RECORD_ORACLES
+QUERIES, ORACLES = queries.QUERIES | RECORD_QUERIES | FLOW_QUERIES, oracles.ORACLES | RECORD_ORACLES | FLOW_ORACLES
 
 
 def test_every_query_has_an_oracle():
