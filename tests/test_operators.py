@@ -115,6 +115,21 @@ def test_download_boundaries(spark):
     assert got(rules.download_grants(df, now=F.lit(now)), "token", "reason", "download_count") == [("a", "granted", 10), ("b", "limit", 10), ("c", "expired", 0)]
 
 
+def test_download_requests_of_a_hot_token(spark):
+    """The tenth download stops the rest; a count at the limit, an unknown token, an expiry between requests, ties and null times."""
+    now = dt.datetime(2024, 1, 1)
+    tokens = spark.createDataFrame([("hot", None, 3), ("full", None, 12), ("soon", now + dt.timedelta(seconds=5), None), ("idle", None, 1)], "token string, expires_at timestamp, download_count int")
+    asked = [(k, "hot", now + dt.timedelta(seconds=k // 4)) for k in range(500)] + [(1000 + k, "soon", now + dt.timedelta(seconds=k)) for k in range(9)] + [(2000, "full", now), (2001, "none", now), (2002, None, now), (2003, "hot", None)]
+    judged, after = rules.download_requests(spark.createDataFrame(asked, "request_id long, token string, at timestamp").repartition(5), tokens)
+    rows = {r["request_id"]: (r["reason"], r["download_count"]) for r in judged.collect()}
+    assert len(rows) == len(asked) and rows[2003] == ("granted", 4) and [rows[k] for k in range(6)] == [("granted", 5 + k) for k in range(6)] and {rows[k] for k in range(6, 500)} == {("limit", 10)}
+    assert [rows[1000 + k] for k in range(9)] == [("granted", k + 1) for k in range(6)] + [("expired", 6)] * 3
+    assert rows[2000] == ("limit", 12) and rows[2001] == rows[2002] == ("not_found", None)
+    assert got(after, "token", "download_count") == [("full", 12), ("hot", 10), ("idle", 1), ("soon", 6)]
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_upsert_is_idempotent_and_keeps_optional(spark):
     t = spark.createDataFrame([("a", "old", 1, 1, 1), ("b", "b", 1, 1, 1)], "k string, title string, price long, created_at long, updated_at long")
     s = spark.createDataFrame([("a", None, 2, 1), ("a", None, 3, 2), ("c", "new", 4, 1)], "k string, title string, price long, n long")

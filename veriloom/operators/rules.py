@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions.scalars import missing
@@ -80,6 +80,33 @@ def download_grants(tokens: DataFrame, media: DataFrame | None = None, now: Colu
     return rows.withColumn("reason", reason).withColumn("download_count", F.col("download_count") + (F.col("reason") == "granted").cast("int"))
 
 
+def download_requests(requests: DataFrame, tokens: DataFrame, most: int = MOST_DOWNLOADS) -> tuple[DataFrame, DataFrame]:
+    """(requests with reason and download_count as each leaves it, tokens with download_count after all of them).
+
+    requests: request_id, token, at; tokens: token, expires_at, download_count. A token's requests come in the order of
+    (at, request_id): one for a token that isn't there is not_found, one after its expiry expired, one that finds `most`
+    downloads limit, and the others are granted, each a download. Requests without a time come first and never expire.
+    A null count counts as 0; a null expiry never comes.
+
+    A request that is granted is among its token's first `most` that haven't expired, so every task sends on that many of
+    a token at most, and the last one granted decides for the rest: a token with very many requests isn't one task.
+    """
+    known = tokens.select("token", "expires_at", F.coalesce("download_count", F.lit(0)).alias("before"))
+    rows = requests.select("request_id", "token", "at").join(known, "token")
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("at", "request_id"))
+    first = rows.where(~F.coalesce(F.col("at") > F.col("expires_at"), F.lit(False))).withColumn("nth", nth).where(F.col("nth") <= most).where(F.col("nth") + F.col("before") <= most)
+    last = first.groupBy("token").agg(F.max(F.struct(F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(2**63))).alias("us"), "request_id")).alias("last"), F.max("nth").alias("granted"))
+    side = known.join(last, "token", "left").select("token", "expires_at", "before", "last", F.coalesce("granted", F.lit(0)).alias("granted"))
+    own = F.struct(F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(2**63))).alias("us"), F.col("request_id"))
+    all_ = requests.join(side.withColumn("known", F.lit(True)), "token", "left")
+    reason = first_failure(("not_found", F.col("known").isNull()), ("expired", F.col("at") > F.col("expires_at")), ("limit", F.coalesce(own > F.col("last"), F.lit(True))), passed="granted")
+    place = first.select("request_id", "token", "nth")
+    judged = all_.withColumn("reason", reason).join(place, ["request_id", "token"], "left")
+    count = F.when(F.col("known"), (F.col("before") + F.coalesce("nth", "granted")).cast("int"))
+    after = tokens.join(last.select("token", "granted"), "token", "left").withColumn("download_count", (F.coalesce("download_count", F.lit(0)) + F.coalesce("granted", F.lit(0))).cast("int"))
+    return judged.select(*requests.columns, "reason", count.alias("download_count")), after.select(*tokens.columns)
+
+
 def purchase_status(latest: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (media_id, buyer) with purchased and the latest token, whether or not it has expired."""
     return asked.join(latest.select("media_id", "buyer", "token"), ["media_id", "buyer"], "left").withColumn("purchased", F.col("token").isNotNull())

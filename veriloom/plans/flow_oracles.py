@@ -19,4 +19,13 @@ s AS (SELECT DISTINCT q, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS job, CA
    FROM s LEFT JOIN ev ON ev.q = s.q AND ev.n = s.n + 1) WHERE stuck OR t IS NOT NULL))
 SELECT q AS queue, x.seq AS seq, strftime(TIMESTAMP '2024-01-01' + to_seconds(x.t), '%H:%M:%S') AS at, x.job AS job_id, x.what AS what, x.stalls AS stalls FROM (SELECT q, unnest(said) AS x FROM s)"""
 
-FLOW_ORACLES = {"serial_queue": _SERIAL}
+_BURSTS = """WITH t AS (SELECT event_id AS token, ts + INTERVAL 264 HOURS AS e, CAST(props->>'$.k' AS INTEGER) % 12 AS n FROM events WHERE event_type = 'purchase'),
+r AS (SELECT event_id AS request_id, ts AS w, CASE WHEN event_id % 3 = 0 THEN 2 ELSE event_id % 97 END AS token FROM events),
+x AS (SELECT r.*, t.token IS NOT NULL AS known, w > e AS late, n, sum(CASE WHEN w <= e THEN 1 ELSE 0 END) OVER (PARTITION BY r.token ORDER BY w, request_id) AS nth FROM r LEFT JOIN t ON t.token = r.token)"""
+
+FLOW_ORACLES = {
+    "serial_queue": _SERIAL,
+    "download_bursts": f"""{_BURSTS} SELECT request_id, token, CASE WHEN NOT known THEN 'not_found' WHEN late THEN 'expired' WHEN n + nth > 10 THEN 'limit' ELSE 'granted' END AS reason,
+ CAST(n + least(nth, greatest(10 - n, 0)) AS INTEGER) AS download_count FROM x""",
+    "download_counts": f"""{_BURSTS} SELECT token, CAST(n + least(coalesce(nth, 0), greatest(10 - n, 0)) AS INTEGER) AS download_count FROM t LEFT JOIN (SELECT token, max(nth) AS nth FROM x GROUP BY 1) USING (token)""",
+}

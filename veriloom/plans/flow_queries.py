@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import scalars as S
-from veriloom.operators import serial
+from veriloom.operators import rules, serial
+from veriloom.sources import views
 from veriloom.sources.views import table
 
 
@@ -23,4 +24,19 @@ def serial_queue(spark: SparkSession, d: str) -> DataFrame:
     return got.select("queue", "seq", F.date_format("at", "HH:mm:ss").alias("at"), "job_id", "what", "stalls")
 
 
-FLOW_QUERIES = {f.__name__: f for f in (serial_queue,)}
+def _bursts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every event asks for the token of a purchase, a third of them for one; some tokens have expired, are used up or aren't there."""
+    tokens = views.tokens(spark, d).withColumn("expires_at", F.col("expires_at") + F.expr("INTERVAL 240 HOURS"))
+    asked = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("ts").alias("at"), F.when(F.col("event_id") % 3 == 0, F.lit(2)).otherwise(F.col("event_id") % 97).alias("token"))
+    return rules.download_requests(asked, tokens)
+
+
+def download_bursts(spark: SparkSession, d: str) -> DataFrame:
+    return _bursts(spark, d)[0].select("request_id", "token", "reason", "download_count")
+
+
+def download_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _bursts(spark, d)[1].select("token", "download_count")
+
+
+FLOW_QUERIES = {f.__name__: f for f in (serial_queue, download_bursts, download_counts)}
