@@ -75,6 +75,33 @@ def test_walk_guard(spark):
     assert got(manifests.root_walk(edges, starts), "start", "root", "depth") == [(0, 0, 0), (100, 101, 1), (1000, 1010, 10), (1100, 1111, 11), (1200, 1211, 11)]
 
 
+def test_walk_plans(spark):
+    """Both walks: every length of way, two parents, a cycle, and any number of hops; strides take fewer joins."""
+    chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (200, 20), (200, 30)]
+    edges = spark.createDataFrame(chain, "node long, parent long")
+    starts = spark.createDataFrame([(k,) for k in (*range(41), 100, 200, 300)], "start long")
+    up = {}
+    for a, b in chain:
+        up.setdefault(a, []).append(b)
+
+    def plain(node, left):
+        return [(root, depth + 1) for p in up[node] for root, depth in plain(p, left - 1)] if left and node in up else [(node, 0)]
+
+    for most in (0, 1, 3, 4, 5, 8, 11):
+        for doubling in (False, True) if most in (3, 11) else (True,):
+            assert got(manifests.root_walk(edges, starts, most, doubling), "start", "root", "depth") == sorted((r[0], *x) for r in starts.collect() for x in plain(r[0], most))
+    own = spark.createDataFrame([(k, f"t{k}" if k % 7 == 0 else "") for k in range(0, 45)], "node long, thumbnail string")
+    held = edges.where("node < 100").selectExpr("*", "CASE WHEN node % 5 = 0 THEN concat('i', node) END AS ingredient_thumbnail")
+    shown = {k: f"i{k}" if k % 5 == 0 and k < 40 else f"t{k}" if k % 7 == 0 else None for k in range(45)}
+    want = [(s, next((shown[k] for k in range(min(s + 10, 40) if s <= 40 else s, s - 1, -1) if shown.get(k)), "none")) for s in range(41)]
+    for doubling in (False, True):
+        assert got(manifests.root_thumbnail(held, starts.where("start < 50"), own, doubling=doubling).fillna("none"), "start", "thumbnail") == want
+    walk = manifests.root_walk(edges, starts, doubling=True)
+    walk.collect()
+    stages = walk._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum(stages.count(f"{kind}Join ") for kind in ("SortMerge", "BroadcastHash", "ShuffledHash")) < manifests.GUARD
+
+
 def test_thumbnail_unwinds(spark):
     edges = spark.createDataFrame([(1, 2, "x"), (2, None, None), (3, 4, None), (4, None, None)], "node long, parent long, ingredient_thumbnail string")
     own = spark.createDataFrame([(1, "y"), (2, ""), (3, "three"), (4, "root")], "node long, thumbnail string")

@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +108,34 @@ def test_attributes_and_actions(spark):
 def test_byte_arrays_as_hex(spark):
     df = spark.createDataFrame([('{"a": [[1, 255]], "hash": [], "b": [1, 300]}',), ("no json",), (None,)], "t string")
     assert [r[0] for r in df.select(N.byte_arrays_as_hex("t")).collect()] == ['{"a": ["0x01ff"], "hash": "0x", "b": [1, 300]}', "no json", None]
+
+
+def hexed(x):
+    if isinstance(x, list):
+        if x and all(type(v) in (int, float) and 0 <= v <= 255 for v in x):
+            return "0x" + "".join(f"{int(v):02x}" for v in x)
+        return [hexed(v) for v in x]
+    if isinstance(x, dict):
+        return {k: "0x" + "".join(f"{int(u):02x}" for u in v) if k == "hash" and isinstance(v, list) and all(type(u) in (int, float) for u in v) else hexed(v) for k, v in x.items()}
+    return x
+
+
+def test_byte_arrays_at_any_depth(spark):
+    """Random JSON of many depths, strings that look like arrays and keys, escapes, wide numbers, and a long array."""
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.choice(["list", "bytes", "dict", "dict", "text", "number"]) if depth else "number"
+        if kind == "list":
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        if kind == "bytes":
+            return [rng.choice([0, 7, 255, 255, 1.5, 2e1]) for _ in range(rng.randint(1, 4))]
+        if kind == "dict":
+            return {rng.choice(["a", "hash", "x hash", '"hash"']): value(depth - 1) if rng.random() < 0.7 else [300, -5, 1][: rng.randint(0, 3)] for _ in range(3)}
+        return rng.choice(["[1, 2]", '"hash": [1]', 'a\\"[3]', "\\", "é\n", "[1"]) if kind == "text" else rng.choice([1, 256, -1, 0.5, None, True])
+
+    values = [value(rng.randint(1, 12)) for _ in range(300)] + [{"long": [k % 256 for k in range(50_000)], "text": "[1]\\" * 20_000}]
+    texts = [json.dumps(v, indent=rng.choice([None, 1])) for v in values]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", N.byte_arrays_as_hex("t").alias("t")).collect()
+    for r in got:
+        assert json.loads(r["t"]) == hexed(values[r["k"]])

@@ -1,13 +1,9 @@
-"""Functions over nested manifests: label-keyed assertions, attributes, validation codes. All are Column expressions but one."""
+"""Functions over nested manifests: label-keyed assertions, attributes, validation codes. All are Column expressions."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .scalars import bytes_hex, c, instance_hash, is_trusted_issuer, or_else
 
@@ -79,27 +75,33 @@ def content_hash(issuer: Column | str, assertions: Column | str, instance_id: Co
     return out if out is not None else F.lit(None).cast("string")
 
 
-def _hexed(x):
-    if isinstance(x, list):
-        if x and all(type(v) in (int, float) and 0 <= v <= 255 for v in x):
-            return "0x" + "".join(f"{int(v):02x}" for v in x)
-        return [_hexed(v) for v in x]
-    if isinstance(x, dict):
-        return {k: "0x" + "".join(f"{int(u):02x}" for u in v) if k == "hash" and isinstance(v, list) and all(type(u) in (int, float) for u in v) else _hexed(v) for k, v in x.items()}
-    return x
+# JSON by text: a number; the key "hash" with its numbers; a string; an array of numbers. Possessive, so long texts don't recurse.
+_NUMBER = r"-?+[0-9]++(?:[.][0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
+_NUMBERS = rf"{_NUMBER}(?:\s*+,\s*+{_NUMBER})*+"
+_TOKEN = rf'"hash"\s*+:\s*+\[\s*+(?:{_NUMBERS})?+\s*+\]|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\[\s*+{_NUMBERS}\s*+\]'
 
 
-@F.pandas_udf(StringType())
-def byte_arrays_as_hex(texts: pd.Series) -> pd.Series:
-    """JSON with every array of bytes, at any depth, as 0x and hex; text that isn't JSON stays, null stays null.
+def _hex_digits(number: Column) -> Column:
+    whole = number.cast("double").cast("long")
+    digits = F.lower(F.hex(F.abs(whole)))
+    return F.when(whole < 0, F.concat(F.lit("-"), digits)).when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
 
-    The depth isn't bounded, which no Column expression can follow.
-    """
 
-    def one(t):
-        try:
-            return None if t is None else json.dumps(_hexed(json.loads(t)), ensure_ascii=False)
-        except ValueError:
-            return t
+def _token_as_hex(token: Column) -> Column:
+    numbers = F.regexp_extract_all(token, F.lit(rf"(?<![0-9.eE+-]){_NUMBER}"), F.lit(0))
+    text = F.concat(F.lit('"0x'), F.array_join(F.transform(numbers, _hex_digits), ""), F.lit('"'))
+    are_bytes = F.forall(numbers, lambda n: n.cast("double").between(0, 255))
+    is_hash = token.startswith('"hash"') & token.endswith("]")
+    return F.when(is_hash, F.concat(F.substring_index(token, "[", 1), text)).when(token.startswith("[") & are_bytes, text).otherwise(token)
+
 
-    return texts.map(one)
+def byte_arrays_as_hex(texts: Column | str) -> Column:
+    """JSON with every array of bytes, at any depth, and every array of numbers named hash, as 0x and hex; all else stays as it is written.
+
+    The text is read from left to right as strings, arrays of numbers and the rest, so depth costs nothing and no Python
+    runs. Text that isn't JSON (or that parse_json refuses) stays, null stays null; numbers lose their fraction.
+    """
+    t = c(texts)
+    gaps, tokens = F.split(t, _TOKEN, -1), F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0))
+    out = F.array_join(F.zip_with(gaps, tokens, lambda g, x: F.concat(g, F.coalesce(_token_as_hex(x), F.lit("")))), "")
+    return F.when(F.try_parse_json(t).isNull(), t).otherwise(out)

@@ -235,6 +235,12 @@ def camera(make: Column | str, model: Column | str) -> Column:
     return F.when(~(missing(make) & missing(model)), both)
 
 
+def exif_date(original: Column | str, changed: Column | str) -> Column:
+    """When a picture was taken, else when it was changed, as text; empty texts and zeros are missing."""
+    said = lambda x: F.when(~c(x).cast("string").isin("", "0"), c(x).cast("string"))
+    return F.coalesce(said(original), said(changed))
+
+
 def fitted(width: Column | str, height: Column | str, most: int = 512) -> Column:
     """(width, height) within a square of this size, the ratio kept, rounded half up; smaller ones stay."""
     w, h = c(width).cast("double"), c(height).cast("double")

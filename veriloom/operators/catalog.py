@@ -51,6 +51,23 @@ def exactly_one(rows: DataFrame, optional: bool = False):
     return got[0] if got else None
 
 
+def one_row(rows: DataFrame, optional: bool = False) -> DataFrame:
+    """rows, of which there must be one, or none if optional; otherwise running it is an error. Two rows at most leave a task's partition."""
+    names = rows.columns
+    held = rows.select(F.struct(*[F.col(c) for c in names]).alias("r")).limit(2).agg(F.collect_list("r").alias("rs"))
+    many = F.raise_error(F.lit("one row expected, more found")).cast("boolean")
+    none = F.lit(False) if optional else F.raise_error(F.lit("one row expected, none found")).cast("boolean")
+    fine = F.when(F.size("rs") > 1, many).when(F.size("rs") == 0, none).otherwise(True)
+    return held.where(fine).select(F.col("rs")[0].alias("r")).select("r.*")
+
+
+def page_request(page: Column, limit: Column) -> Column:
+    """Whether texts ask for a page that there can be: whole numbers, 1 <= page and 1 <= limit <= 100; what isn't given counts as it is by default."""
+    whole = lambda x, unsaid: F.when(x.isNull(), unsaid).otherwise(F.when(x.rlike("^[0-9]{1,9}$"), x.try_cast("int")))
+    p, n = whole(page, 1), whole(limit, 20)
+    return F.coalesce((p >= 1) & (n >= 1) & (n <= MOST_PER_PAGE), F.lit(False))
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """The last row of each key: an aggregate with partial results, so a hot key costs one row for each task."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("last")).select(*keys, "last.*")

@@ -11,8 +11,8 @@ from veriloom.functions.scalars import action_display, missing, or_else
 GUARD = 11
 #: Values of the key that spreads rows without a node over the tasks.
 SPREAD = 1024
-#: A spec table of at most so many rows is broadcast.
-BROADCAST_SPECS = 10_000
+#: Specs that are held against every issuer; more are keyed by what they need.
+FEW_SPECS = 64
 
 
 def _spread(node: Column, start: Column | None = None) -> Column:
@@ -20,37 +20,73 @@ def _spread(node: Column, start: Column | None = None) -> Column:
     return F.pmod(F.xxhash64(node if start is None else F.coalesce(node, start)), F.lit(SPREAD))
 
 
-def root_walk(edges: DataFrame, starts: DataFrame, most: int = GUARD) -> DataFrame:
+def _strides(steps: DataFrame) -> DataFrame:
+    """steps (node, held, at: an array of what a step from the node meets, and where it ends, null if the way ends there) four steps long, by doubling twice."""
+    for _ in range(2):
+        far = steps.select(F.col("node").alias("n"), F.col("held").alias("more"), F.col("at").alias("end"), _spread(F.col("node")).alias("n_spread"))
+        both = steps.withColumn("spread", _spread(F.col("at"), F.col("node"))).join(far, (F.col("at") == F.col("n")) & (F.col("spread") == F.col("n_spread")), "left")
+        steps = both.select("node", F.when(F.col("more").isNull(), F.col("held")).otherwise(F.concat("held", "more")).alias("held"), F.col("end").alias("at"))
+    return steps
+
+
+def _walk(steps: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """start, held: what up to `most` steps from each start meet, in order.
+
+    Four steps to a join: the table of strides is made by joins of the steps with themselves and shuffled once for all
+    that follow. Those that have arrived have no key, so later joins pass them by, spread by their starts.
+    """
+    start = F.col("start").cast(steps.schema["node"].dataType)
+    far = _strides(steps).select("node", F.col("held").alias("more"), F.col("at").alias("end"), _spread(F.col("node")).alias("n_spread"))
+    walk = starts.select("start", start.alias("at"), F.array().cast(steps.schema["held"].dataType).alias("held"))
+    for left in range(most, 0, -4):
+        step = _step(walk, far, start)
+        more = F.slice("more", 1, left) if left < 4 else F.col("more")
+        walk = step.select("start", F.col("end").alias("at"), F.when(F.col("more").isNull(), F.col("held")).otherwise(F.concat("held", more)).alias("held"))
+    return walk.select("start", "held")
+
+
+def _step(walk: DataFrame, up: DataFrame, start: Column) -> DataFrame:
+    return walk.withColumn("spread", _spread(F.col("at"), start)).join(up, (F.col("at") == F.col("node")) & (F.col("spread") == F.col("n_spread")), "left")
+
+
+def root_walk(edges: DataFrame, starts: DataFrame, most: int = GUARD, doubling: bool = False) -> DataFrame:
     """start, root, depth: from each start up the parents until none is left or after `most` hops.
 
-    edges: node, parent (null at a root). An equi-join a hop; those that have arrived keep a null key, so later joins
-    pass them by, spread by their starts. A start that isn't in edges is its own root.
+    edges: node, parent (null at a root). A start that isn't in edges is its own root. An equi-join a hop, for which edges
+    are shuffled once; those that have arrived keep a null key, so later joins pass them by, spread by their starts. Where
+    about as many start as there are nodes, set doubling: edges are joined into strides of four first, and the starts
+    then move by three joins instead of eleven.
     """
     kind = edges.schema["node"].dataType
-    start = F.col("start").cast(kind)
-    up = edges.where("node is not null and parent is not null").select("node", "parent", _spread(F.col("node")).alias("n_spread"))
+    start, known = F.col("start").cast(kind), edges.where("node is not null and parent is not null")
+    if doubling:
+        held = _walk(known.select("node", F.array("parent").alias("held"), F.col("parent").cast(kind).alias("at")), starts, most)
+        return held.select("start", F.coalesce(F.try_element_at("held", F.lit(-1)), "start").alias("root"), F.size("held").alias("depth"))
+    up = known.select("node", "parent", _spread(F.col("node")).alias("n_spread"))
     walk = starts.select("start", F.col("start").alias("root"), start.alias("at"), F.lit(0).alias("depth"))
     for _ in range(most):
-        step = walk.withColumn("spread", _spread(F.col("at"), start)).join(up, (F.col("at") == F.col("node")) & (F.col("spread") == F.col("n_spread")), "left")
-        walk = step.select("start", F.coalesce("parent", "root").alias("root"), F.col("parent").cast(kind).alias("at"), (F.col("depth") + F.col("parent").isNotNull().cast("int")).alias("depth"))
+        walk = _step(walk, up, start).select("start", F.coalesce("parent", "root").alias("root"), F.col("parent").cast(kind).alias("at"), (F.col("depth") + F.col("parent").isNotNull().cast("int")).alias("depth"))
     return walk.select("start", "root", "depth")
 
 
-def root_thumbnail(edges: DataFrame, starts: DataFrame, thumbnails: DataFrame, most: int = GUARD) -> DataFrame:
+def root_thumbnail(edges: DataFrame, starts: DataFrame, thumbnails: DataFrame, most: int = GUARD, doubling: bool = False) -> DataFrame:
     """start, thumbnail: the deepest one there is on the way to the root.
 
     edges: node, parent, ingredient_thumbnail; thumbnails: node, thumbnail. At a node with a parent the parent's result
     counts, else the ingredient's thumbnail, else the node's own; past the guard there is none. Empty ones are missing.
+    The nodes' own thumbnails are joined to the edges once; the walk is that of `root_walk`.
     """
     kind = edges.schema["node"].dataType
-    start, shown = F.col("start").cast(kind), F.col("node").cast(kind)
-    up = edges.where("node is not null").select("node", "parent", F.col("ingredient_thumbnail").alias("i"), _spread(F.col("node")).alias("n_spread"))
-    own = thumbnails.select(shown.alias("n"), F.col("thumbnail").alias("t"), _spread(shown).alias("o_spread"))
+    up = edges.where("node is not null").select("node", F.col("parent").cast(kind).alias("parent"), F.col("ingredient_thumbnail").alias("i"))
+    own = thumbnails.where("node is not null").select(F.col("node").cast(kind).alias("node"), F.col("thumbnail").alias("t"))
+    shown = up.join(own, "node", "full").select("node", "parent", or_else("i", "t").alias("shown"))
+    if doubling:
+        held = _walk(shown.select("node", F.array("shown").alias("held"), F.col("parent").alias("at")), starts, most)
+        return held.select("start", F.try_element_at(F.filter("held", lambda x: x.isNotNull()), F.lit(-1)).alias("thumbnail"))
+    start, far = F.col("start").cast(kind), shown.withColumn("n_spread", _spread(F.col("node")))
     walk = starts.select("start", start.alias("at"), F.lit(None).cast("string").alias("thumbnail"))
     for _ in range(most):
-        step = walk.withColumn("spread", _spread(F.col("at"), start)).join(up, (F.col("at") == F.col("node")) & (F.col("spread") == F.col("n_spread")), "left")
-        step = step.join(own, (F.col("at") == F.col("n")) & (F.col("spread") == F.col("o_spread")), "left")
-        walk = step.select("start", F.col("parent").cast(kind).alias("at"), F.coalesce(or_else("i", "t"), F.col("thumbnail")).alias("thumbnail"))
+        walk = _step(walk, far, start).select("start", F.col("parent").alias("at"), F.coalesce("shown", "thumbnail").alias("thumbnail"))
     return walk.select("start", "thumbnail")
 
 
@@ -74,17 +110,47 @@ def group_assertions(assertions: DataFrame, key: str = "manifest_id") -> DataFra
     return held.select(key, "label", F.col("held.data").alias("values"), (F.size("held") > 1).alias("multi"))
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters, and shorter ones, of a text."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.substring(text, k, F.lit(n)))
+    return F.array_distinct(F.concat(*[F.when(F.length(text) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+
+
+def _mandatory(matcher: Column, is_regex: Column) -> Column:
+    """A text that every name holds which the matcher finds; null where there is none.
+
+    A literal is its own. Of a regex without groups, choices, classes, escapes and flags it is the longest run of plain
+    characters that no quantifier makes optional.
+    """
+    plain = "[A-Za-z0-9 ,&_#:/-]"
+    runs = F.regexp_extract_all(matcher, F.lit(rf"{plain}+(?![?*])"), F.lit(0))
+    longest = F.try_element_at(F.array_sort(runs, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+    return F.when(~is_regex, matcher).when(matcher.rlike(rf"^(?:{plain}|[.*+?^$])*$"), longest)
+
+
 def match_spec(rows: DataFrame, specs: DataFrame, issuer: str = "issuer") -> DataFrame:
     """rows with spec_id: the first spec, by place, whose matcher the issuer holds (or that its regex finds); null if none.
 
-    specs (spec_id, place, matcher, is_regex) is a small table that is kept by hand, counted before it is broadcast; the
-    distinct issuers are matched, not the rows.
+    specs: spec_id, place, matcher, is_regex. The distinct issuers are matched, not the rows. Up to FEW_SPECS are held
+    against each issuer. Beyond that every matcher is keyed by one run of three characters (or fewer) that it needs, the one that
+    fewest matchers have; issuers meet only the matchers whose key they hold, by an equi-join, and those are verified.
+    Regexes that need no such run, and empty matchers, are still held against all issuers: keep those few.
     """
     names = rows.select(F.col(issuer).alias("name")).where("name is not null").distinct()
     hit = F.when(F.col("is_regex"), F.expr("name rlike matcher")).otherwise(F.contains("name", "matcher"))
-    few = specs.limit(BROADCAST_SPECS + 1).count() <= BROADCAST_SPECS
-    found = names.join(F.broadcast(specs) if few else specs, hit).groupBy("name").agg(F.min_by("spec_id", "place").alias("spec_id"))
-    return rows.join(found, rows[issuer] == found["name"], "left").drop("name")
+    if specs.limit(FEW_SPECS + 1).count() <= FEW_SPECS:
+        found = names.join(F.broadcast(specs), hit)  # FEW_SPECS matchers of hand-kept length
+    else:
+        needs = specs.withColumn("need", F.nullif(_mandatory(F.col("matcher"), F.coalesce("is_regex", F.lit(False))), F.lit("")))
+        keys = needs.where("need IS NOT NULL").select("spec_id", "place", "matcher", "is_regex", F.explode(_grams(F.col("need"))).alias("gram"))
+        shared = keys.groupBy("gram").agg(F.count("*").alias("specs"))
+        rarest = keys.join(shared, "gram").groupBy("spec_id", "place", "matcher", "is_regex").agg(F.min_by("gram", F.struct("specs", -F.length("gram"), "gram")).alias("gram"))
+        found = names.select("name", F.explode(_grams(F.col("name"))).alias("gram")).join(rarest, "gram").where(hit).select("name", "spec_id", "place")
+        rest = needs.where("need IS NULL")
+        if not rest.isEmpty():
+            found = found.union(names.join(rest, hit).select("name", "spec_id", "place"))
+    first = found.groupBy("name").agg(F.min_by("spec_id", "place").alias("spec_id"))
+    return rows.join(first, rows[issuer] == first["name"], "left").drop("name")
 
 
 FIELDS = ["label", "title", "format", "vendor", "instance_id", "issuer", "signed_at", "claim_generator"]

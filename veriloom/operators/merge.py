@@ -86,6 +86,5 @@ def proof_documents(records: DataFrame) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str, partition: str = "original_hash") -> None:
-    """Documents as JSON files, a folder for each value of partition; rows of one value come together first."""
-    rows.repartition(partition).write.partitionBy(partition).mode("append").json(path)
-
+    """Documents as JSON files, a folder for each value of partition; rows of one value come together first. A value's folder is written anew, so a rerun leaves one copy; other folders stay."""
+    rows.repartition(partition).write.partitionBy(partition).mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,34 @@ def tagged(index: DataFrame, name: str, value: str, most: int = 100) -> DataFram
     return index.where(has).orderBy("timestamp", "tx_id").limit(most)
 
 
+def tag_postings(index: DataFrame) -> DataFrame:
+    """name, value, timestamp, tx_id: a row for each tag of each record (tags: an array of (name, value)); a tag that a record has twice counts once."""
+    return index.select("timestamp", "tx_id", F.explode(F.array_distinct("tags")).alias("tag")).select("tag.name", "tag.value", "timestamp", "tx_id")
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = 256) -> None:
+    """The postings by hash bucket of their tag, each bucket in order, so that a lookup reads a bucket and skips most of its row groups.
+
+    A tag's postings may be many, so a bucket is dealt over several files by record before it is sorted.
+    """
+    bucket = F.pmod(F.xxhash64("name", "value"), F.lit(buckets)).cast("int")
+    rows = postings.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.xxhash64("tx_id"), F.lit(8)))
+    rows.sortWithinPartitions("bucket", "name", "value", "timestamp", "tx_id").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, name: str, value: str, most: int = 100, buckets: int = 256) -> DataFrame:
+    """The oldest so many records of one tag, out of written postings."""
+    tag = spark.range(1).select(F.pmod(F.xxhash64(F.lit(name), F.lit(value)), F.lit(buckets))).head()[0]
+    rows = spark.read.parquet(path).where((F.col("bucket") == tag) & (F.col("name") == name) & (F.col("value") == value))
+    return rows.orderBy("timestamp", "tx_id").limit(most).select("timestamp", "tx_id")
+
+
+def first_tagged(postings: DataFrame, most: int = 100) -> DataFrame:
+    """name, value, place, timestamp, tx_id: the oldest so many records of every tag. A task sends on so many of a tag at most."""
+    place = F.row_number().over(Window.partitionBy("name", "value").orderBy("timestamp", "tx_id"))
+    return postings.withColumn("place", place).where(F.col("place") <= most).select("name", "value", "place", "timestamp", "tx_id")
+
+
 def candidates(index: DataFrame, headers: DataFrame, bodies: DataFrame, trusted: Column | None = None) -> DataFrame:
     """Records whose uploader is trusted and whose body names the hash that they are tagged with.
 

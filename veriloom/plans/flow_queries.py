@@ -7,9 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriloom.functions import nested as N
 from veriloom.functions import scalars as S
-from veriloom.operators import rules, serial
-from veriloom.sources import views
+from veriloom.operators import catalog, jobs, manifests, merge, resolve, rules, serial
+from veriloom.operators.keyed import KeyedTable
+from veriloom.plans import sql_objects
+from veriloom.sources import store, views
 from veriloom.sources.views import table
 
 
@@ -39,4 +42,106 @@ def download_counts(spark: SparkSession, d: str) -> DataFrame:
     return _bursts(spark, d)[1].select("token", "download_count")
 
 
-FLOW_QUERIES = {f.__name__: f for f in (serial_queue, download_bursts, download_counts)}
+def root_walk_all(spark: SparkSession, d: str) -> DataFrame:
+    """From every event up to its root."""
+    edges, _ = views.chain(spark, d)
+    return manifests.root_walk(edges, edges.select(F.col("node").alias("start")), doubling=True)
+
+
+def root_thumbnail_all(spark: SparkSession, d: str) -> DataFrame:
+    edges, _ = views.chain(spark, d)
+    held = edges.selectExpr("node", "parent", "CASE WHEN node % 11 = 0 THEN concat('i', node) WHEN node % 3 = 1 THEN '' END AS ingredient_thumbnail")
+    own = edges.where("node % 13 = 0").selectExpr("node", "concat('t', node) AS thumbnail")
+    return manifests.root_thumbnail(held, edges.select(F.col("node").alias("start")), own, doubling=True)
+
+
+def keyed_media(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue in buckets: upserts, an update with a guard, one of given fields alone, and counters, a day each."""
+    m = merge.first_per_key(views.media(spark, d), ["original_hash"], ["media_id"]).select("original_hash", "media_id", "title", "price_lamports", "owner_wallet", "is_public")
+    day = lambda n: F.expr(f"TIMESTAMP_NTZ'2024-01-{n} 00:00:00'")
+    rows = m.where("media_id % 2 = 0").select("*", F.lit(0).alias("downloads"), day("01").alias("created_at"), day("01").alias("updated_at"))
+    held = KeyedTable.create(rows, store.new_path(spark, "keyed-media"), "original_hash", buckets=16)
+    held.upsert(m.where("media_id % 3 = 0").selectExpr("original_hash", "media_id", "title", "price_lamports + 1 AS price_lamports", "'new' AS owner_wallet", "true AS is_public"), ["media_id"], day("15"), ("title",))
+    held.update(m.where("media_id % 5 = 0").selectExpr("original_hash", "'new' AS owner", "false AS new"), {"is_public": "s.new"}, day("16"), where="t.owner_wallet = s.owner")
+    held.update(m.where("media_id % 7 = 0").selectExpr("original_hash", "upper(title) AS title", "media_id % 2 = 0 AS has_title"), {"title": "if(s.has_title, s.title, t.title)"}, day("17"))
+    held.count(m.where("media_id % 4 = 0").selectExpr("original_hash", "explode(array_repeat(1, CAST(media_id % 3 AS INT))) AS one"), "downloads", day("18"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return held.read().select("original_hash", "media_id", "title", "price_lamports", "owner_wallet", "is_public", "downloads", text("created_at"), text("updated_at"))
+
+
+def manifest_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Byte arrays in one to twelve levels of objects and arrays, beside texts that look like them."""
+    open_, close = (F.repeat(F.lit(x), (F.col("p_partkey") % 12 + 1).cast("int")) for x in ('{"in": [', "]}"))
+    inner = F.concat(F.lit('{"hash": ['), "p_size", F.lit(', 300], "pad": [0, '), F.col("p_partkey") % 256, F.lit('], "text": "[1, 2]", "wide": [1, 256], "none": []}'))
+    return table(spark, d, "part").select("p_partkey", N.byte_arrays_as_hex(F.concat(open_, inner, close)).alias("manifest"))
+
+
+def document_store(spark: SparkSession, d: str) -> DataFrame:
+    """Proof documents are written twice, some of them broken, and read again by their paths for all records."""
+    records = table(spark, d, "documents").where("doc_id % 10 = 0").groupBy(F.sha2("text", 256).alias("original_hash")).agg(F.min("doc_id").alias("target_asset_id"))
+    said = records.where("target_asset_id % 3 > 0").select("original_hash", "target_asset_id", F.lit("signer").alias("root_signer"), *[F.lit(None).cast("string").alias(c) for c in ("claim_generator", "source_type", "created_at", "image")])
+    path = store.new_path(spark, "documents")
+    for _ in range(2):
+        merge.write_json(merge.proof_documents(said), path)
+    files = views.manifest_files(spark, path, "body STRING", r"/original_hash=([^/]+)/")
+    return views.with_manifests(records.select("original_hash", "target_asset_id"), files).select("original_hash", "target_asset_id", F.get_json_object("manifest.body", "$.name").alias("name"), "broken")
+
+
+def tag_index(spark: SparkSession, d: str) -> DataFrame:
+    """The oldest hundred records of every tag."""
+    tag = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
+    index = views.transactions(spark, d).select("tx_id", F.col("age").alias("timestamp"), F.array(tag("App", F.lit("veriloom")), tag("Uploader", F.col("uploader")), tag("App", F.lit("veriloom"))).alias("tags"))
+    return resolve.first_tagged(resolve.tag_postings(index)).select("name", "value", "place", "timestamp", "tx_id")
+
+
+def sql_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search as SQL calls it."""
+    sql_objects.define(spark, d)
+    return spark.sql("SELECT f.* FROM (SELECT CAST(embedding AS ARRAY<DOUBLE>) AS query FROM feature_vectors WHERE media_id = 0) q, LATERAL search_similar(q.query, 10) f")
+
+
+def sql_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases as the policy shows them to the buyer in the session's variable."""
+    sql_objects.define(spark, d)
+    spark.sql(f"SET VAR {sql_objects.WALLET} = '10'")
+    return spark.sql("SELECT media_id, buyer, seller, amount, signature FROM purchases")
+
+
+def many_matchers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' issuers under as many specs as there are parts, literals and regexes."""
+    literal = F.concat("p_brand", F.lit(" no "), (F.col("p_partkey") % 300).cast("string"))
+    matcher = F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("^by "), "p_brand", F.lit(" .*9 ltd$"))).otherwise(literal)
+    specs = table(spark, d, "part").select(F.concat(F.lit("s"), "p_partkey").alias("spec_id"), F.col("p_partkey").alias("place"), matcher.alias("matcher"), (F.col("p_size") % 10 == 0).alias("is_regex"))
+    rows = table(spark, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 50 > 0 THEN concat('by Brand#', o_custkey % 25 + 1, ' no ', o_orderkey % 400, ' ltd') END AS issuer")
+    return manifests.match_spec(rows, specs).select("o_orderkey", "spec_id")
+
+
+def exif_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr(
+        "p_partkey", "CASE WHEN p_size % 4 = 0 THEN p_retailprice END AS latitude", "CASE WHEN p_size % 6 = 0 THEN '1,2' END AS gps", "CASE WHEN p_size % 3 > 0 THEN p_brand ELSE '' END AS make", "CASE WHEN p_size % 2 = 0 THEN p_type END AS model",
+        "CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN concat('2024:', p_size) END AS taken", "CASE WHEN p_size % 5 > 0 THEN concat('2023:', p_size) ELSE '0' END AS changed",
+    )
+    return rows.select("p_partkey", S.has_gps("latitude", "gps").alias("gps"), S.camera("make", "model").alias("camera"), S.exif_date("taken", "changed").alias("date"))
+
+
+def page_requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", "CASE WHEN p_size % 7 > 0 THEN CAST(p_size - 3 AS STRING) END AS page", "CASE p_size % 5 WHEN 0 THEN '1e1' WHEN 1 THEN '' WHEN 2 THEN CAST(p_partkey % 150 AS STRING) WHEN 3 THEN '10.0' END AS wanted")
+    return rows.select("p_partkey", catalog.page_request(F.col("page"), F.col("wanted")).alias("valid"))
+
+
+def single_record(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.one_row(views.media(spark, d).where("media_id = 0")).select("media_id", "original_hash", "owner_wallet")
+
+
+def job_retention_producer(spark: SparkSession, d: str) -> DataFrame:
+    got = jobs.retained(jobs.latest(views.jobs(spark, d)), F.expr("TIMESTAMP_NTZ'2024-01-30 12:00:00'"), jobs.RETENTION["producer"])
+    return got.select("job_id", "state", "kept")
+
+
+FLOW_QUERIES = {
+    f.__name__: f
+    for f in (
+        serial_queue, download_bursts, download_counts, root_walk_all, root_thumbnail_all, keyed_media, manifest_bytes, document_store, tag_index, sql_search, sql_purchases, many_matchers, exif_summary, page_requests,
+        single_record, job_retention_producer,
+    )
+}

@@ -15,6 +15,27 @@ def manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "false").json(path)
 
 
+def manifest_files(spark: SparkSession, path: str, fields: str, key: str = r"/media/([^/]+)/manifest[.]json") -> DataFrame:
+    """original_hash, manifest (a struct of these DDL fields), broken: a row for each manifest file under the path.
+
+    The hash is taken from the file's own path by the pattern; files without one are left out. A file that isn't a JSON
+    object, or whose fields have other types, is broken: its manifest is null, and no other file suffers. Of several files
+    for a hash the first by path counts.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    at = F.col("_metadata.file_path")
+    rows = files.select(F.url_decode(F.regexp_replace(F.regexp_extract(at, key, 1), "[+]", "%2B")).alias("original_hash"), at.alias("at"), F.col("value")).where("original_hash <> ''")
+    parsed = F.from_json("value", f"{fields}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
+    good = F.trim(F.col("value"), F.lit(" \n\r\t")).startswith("{") & F.col("m").isNotNull() & F.col("m._broken").isNull()
+    first = rows.groupBy("original_hash").agg(F.min_by("value", "at").alias("value")).withColumn("m", parsed)
+    return first.select("original_hash", F.when(good, F.col("m").dropFields("_broken")).alias("manifest"), (~F.coalesce(good, F.lit(False))).alias("broken"))
+
+
+def with_manifests(records: DataFrame, files: DataFrame) -> DataFrame:
+    """records with manifest and broken; both are null where no file has the record's hash."""
+    return records.join(files, "original_hash", "left")
+
+
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as media records; the flag is null where there is no label."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
