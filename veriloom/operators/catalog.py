@@ -62,10 +62,13 @@ def one_row(rows: DataFrame, optional: bool = False) -> DataFrame:
 
 
 def page_request(page: Column, limit: Column) -> Column:
-    """Whether texts ask for a page that there can be: whole numbers, 1 <= page and 1 <= limit <= 100; what isn't given counts as it is by default."""
-    whole = lambda x, unsaid: F.when(x.isNull(), unsaid).otherwise(F.when(x.rlike("^[0-9]{1,9}$"), x.try_cast("int")))
-    p, n = whole(page, 1), whole(limit, 20)
-    return F.coalesce((p >= 1) & (n >= 1) & (n <= MOST_PER_PAGE), F.lit(False))
+    """Whether texts ask for a page that there can be: 1 <= page and 1 <= limit <= 100. Null and empty texts count as the defaults, a number may be followed by anything, and a text without one is rejected."""
+
+    def number(x: Column, unsaid: int) -> Column:
+        return F.when(x.isNull() | (x == ""), unsaid).otherwise(F.regexp_extract(x, r"^\s*([+-]?[0-9]{1,18})", 1).try_cast("long"))
+
+    n = number(limit, 20)
+    return F.coalesce((number(page, 1) >= 1) & (n >= 1) & (n <= MOST_PER_PAGE), F.lit(False))
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:

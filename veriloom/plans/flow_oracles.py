@@ -51,7 +51,7 @@ o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 > 0 THEN 'by Brand#' || (o_cu
 f AS (SELECT issuer, arg_min(spec_id, place) AS spec_id FROM (SELECT DISTINCT issuer FROM o) JOIN s ON CASE WHEN is_regex THEN regexp_matches(issuer, matcher) ELSE contains(issuer, matcher) END GROUP BY 1) SELECT o_orderkey, spec_id FROM o LEFT JOIN f USING (issuer)""",
     "exif_summary": """SELECT p_partkey, p_size % 4 = 0 OR p_size % 6 = 0 AS gps, CASE WHEN p_size % 3 > 0 THEN trim(p_brand || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END) WHEN p_size % 2 = 0 THEN p_type END AS camera,
  CASE WHEN p_size % 3 = 1 THEN '2024:' || p_size WHEN p_size % 5 > 0 THEN '2023:' || p_size END AS date FROM part""",
-    "page_requests": """SELECT p_partkey, (p_size % 7 = 0 OR p_size > 3) AND (p_size % 5 = 4 OR p_size % 5 = 2 AND p_partkey % 150 BETWEEN 1 AND 100) AS valid FROM part""",
+    "page_requests": """SELECT p_partkey, (p_size % 7 = 0 OR p_size > 3) AND (p_size % 5 <> 2 OR p_partkey % 150 BETWEEN 1 AND 100) AS valid FROM part""",
     "single_record": f"WITH {_MEDIA} SELECT media_id, original_hash, owner_wallet FROM media WHERE media_id = 0",
     "job_retention_producer": f"""WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY ts DESC, job_id DESC) AS k FROM last)
 SELECT job_id, state, CASE state WHEN 'completed' THEN k <= 100 AND ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 3600 SECONDS WHEN 'failed' THEN ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 86400 SECONDS ELSE true END AS kept FROM r""",

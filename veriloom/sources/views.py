@@ -19,10 +19,10 @@ def manifest_files(spark: SparkSession, path: str, fields: str, key: str = r"/me
     """original_hash, manifest (a struct of these DDL fields), broken: a row for each manifest file under the path.
 
     The hash is taken from the file's own path by the pattern; files without one are left out. A file that isn't a JSON
-    object, or whose fields have other types, is broken: its manifest is null, and no other file suffers. Of several files
+    object is broken: its manifest is null, and no other file suffers; an empty file counts as missing. Of several files
     for a hash the first by path counts.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     at = F.col("_metadata.file_path")
     rows = files.select(F.url_decode(F.regexp_replace(F.regexp_extract(at, key, 1), "[+]", "%2B")).alias("original_hash"), at.alias("at"), F.col("value")).where("original_hash <> ''")
     parsed = F.from_json("value", f"{fields}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
