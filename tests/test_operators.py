@@ -212,6 +212,32 @@ def test_leaf_places_over_days(spark):
     assert got(jobs.leaf_indexes(jobs_in, minted), "event_id", "leaf_index") == sorted(want)
 
 
+def test_places_in_hot_groups(spark, monkeypatch):
+    """Groups that hold most rows, times that tie, null orders and groups, numbers and texts, and cuts that are few."""
+    from pyspark.sql import Window
+
+    from veriloom.operators import places
+
+    df = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('g', id % 40) WHEN id % 7 > 0 THEN 'ties' END AS g", "CASE WHEN id % 3 = 2 THEN id DIV 2000 WHEN id % 50 > 0 THEN id * 37 % 1000 END AS o",
+        "CASE WHEN id % 90 > 0 THEN concat('k', id * 7 % 3001) END AS e", "CAST(id * 7 % 3001 AS DOUBLE) - 1000.5 AS x", "'kept' AS range", "7 AS n", "8 AS own",
+    )
+    for cuts, order in ((256, ("o", "x")), (8, ("o", "x")), (8, ("x", "o")), (16, ("e", "x"))):
+        monkeypatch.setattr(places, "CUTS", cuts)
+        got_ = places.with_places(df.repartition(3), "g", order)
+        assert got_.columns == [*df.columns, "place"]
+        wrong = got_.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order)) - 1).where("place <> want")
+        assert got_.count() == 3000 and wrong.count() == 0 and got_.where("range = 'kept' AND n = 7 AND own = 8").count() == 3000
+    assert places.with_places(df.where("false"), "g", ("o", "e")).count() == 0
+
+
+def test_mixed_assertions(spark):
+    rows = [(1, "a", 0, '[1, {"x": 2}]'), (1, "a", 1, "b"), (1, "a", 2, "[3]"), (1, "b", 0, "[4, 5]"), (1, "c", 0, "x"), (1, "c", 1, "[6]"), (2, "a", 0, None), (2, "a", 1, "[7"), (2, "d", 0, "[broken"), (2, "d", 1, "y")]
+    df = spark.createDataFrame(rows, "manifest_id int, label string, pos int, data string")
+    out = {(r[0], r[1]): (r[2], r[3]) for r in manifests.group_assertions(df, mixed=True).collect()}
+    assert out == {(1, "a"): (["1", '{"x":2}', "b", "[3]"], True), (1, "b"): (["[4, 5]"], False), (1, "c"): (["x", "[6]"], True), (2, "a"): ([None, "[7"], True), (2, "d"): (["[broken", "y"], True)}
+
+
 def test_walk_kinds_and_nulls(spark):
     """Parents and starts of another number type than nodes, a null start, and many starts that have arrived."""
     edges = spark.createDataFrame([(1, 2), (2, None)], "node long, parent int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.operators.places import with_places
+
 STATES = ["waiting", "active", "completed", "failed", "delayed"]
 # Age in seconds and number kept of finished jobs, by who sets them.
 RETENTION = {"producer": {"completed": (3600, 100), "failed": (86400, None)}, "worker": {"completed": (86400, 1000), "failed": (604800, None)}}
@@ -59,7 +61,7 @@ def poll_outcome(state: Column, success: Column, seconds: Column, most: int = 12
     return F.when((state == "completed") & success, "success").when(state.isin("completed", "failed"), "failure").when(seconds >= most, "timeout").otherwise("pending")
 
 
-def leaf_indexes(jobs: DataFrame, minted: DataFrame) -> DataFrame:
+def leaf_indexes(jobs: DataFrame, minted: DataFrame, spread: bool = False) -> DataFrame:
     """jobs with leaf_index: the tree's counter plus the job's place in its tree's queue by (ts, event_id).
 
     jobs: tree, ts (a time or date), event_id; minted: tree, num_minted. A place is the number of the tree's jobs on

@@ -104,10 +104,18 @@ def timeline(actions: DataFrame, key: str = "manifest_id") -> DataFrame:
     return ends.union(actions.select(key, (F.col("pos") + 1).cast("long").alias("seq"), F.lit("action").alias("kind"), action_display("action").alias("display")))
 
 
-def group_assertions(assertions: DataFrame, key: str = "manifest_id") -> DataFrame:
-    """key, label, values (in order), multi: one row for each label of a manifest."""
+def group_assertions(assertions: DataFrame, key: str = "manifest_id", mixed: bool = False) -> DataFrame:
+    """key, label, values (in order), multi: one row for each label of a manifest.
+
+    With mixed=True a repeated label whose first data is itself a JSON array is added to, as the display does it: values
+    are that array's elements and then the other data.
+    """
     held = assertions.groupBy(key, "label").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("held"))
-    return held.select(key, "label", F.col("held.data").alias("values"), (F.size("held") > 1).alias("multi"))
+    values, multi = F.col("held.data"), F.size("held") > 1
+    if mixed:
+        inner = F.when(F.ltrim(F.col("held")[0]["data"]).startswith("["), F.from_json(F.col("held")[0]["data"], "array<string>"))
+        values = F.when(multi & inner.isNotNull(), F.concat(inner, F.slice("held.data", 2, F.size("held")))).otherwise(values)
+    return held.select(key, "label", values.alias("values"), multi.alias("multi"))
 
 
 def _grams(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veriloom.operators.places import with_places
+
 
 def tagged(index: DataFrame, name: str, value: str, most: int = 100) -> DataFrame:
     """Records with this tag, the oldest so many: tags is an array of (name, value)."""
@@ -50,12 +52,15 @@ def candidates(index: DataFrame, headers: DataFrame, bodies: DataFrame, trusted:
     return rows.where("body_hash = original_hash").select("original_hash", "tx_id", "target_asset_id", "uploader", "age")
 
 
-def in_order(found: DataFrame) -> DataFrame:
+def in_order(found: DataFrame, spread: bool = False) -> DataFrame:
     """Candidates with their place among those of their hash, the oldest first.
 
     A hash with very many records is one window group of narrow rows that Spark sorts and spills; ask `resolve` where
-    only the oldest matters.
+    only the oldest matters, and set spread where a hash may hold a large share of all records: it is then cut into
+    ranges of even size, at the price of more passes.
     """
+    if spread:
+        return with_places(found, "original_hash", ("age", "tx_id")).withColumn("place", (F.col("place") + 1).cast("int"))
     return found.withColumn("place", F.row_number().over(Window.partitionBy("original_hash").orderBy("age", "tx_id")))
 
 

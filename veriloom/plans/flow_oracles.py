@@ -55,4 +55,10 @@ f AS (SELECT issuer, arg_min(spec_id, place) AS spec_id FROM (SELECT DISTINCT is
     "single_record": f"WITH {_MEDIA} SELECT media_id, original_hash, owner_wallet FROM media WHERE media_id = 0",
     "job_retention_producer": f"""WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY ts DESC, job_id DESC) AS k FROM last)
 SELECT job_id, state, CASE state WHEN 'completed' THEN k <= 100 AND ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 3600 SECONDS WHEN 'failed' THEN ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 86400 SECONDS ELSE true END AS kept FROM r""",
+    "leaf_index_spread": """WITH q AS (SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN 3 ELSE user_id % 8 END AS tree FROM events)
+SELECT event_id, tree, CAST(CASE WHEN tree < 7 THEN tree * 100 ELSE 0 END + row_number() OVER (PARTITION BY tree ORDER BY ts, event_id) - 1 AS BIGINT) AS leaf_index FROM q""",
+    "candidates_spread": "SELECT source AS uploader, 'tx' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS tx_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id % 50, doc_id) AS INTEGER) AS place FROM documents",
+    "assertion_mix": """WITH c AS (SELECT conv_id AS manifest_id, role AS label, turn, turn % 3 = 0 AS arr, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id, role) AS m FROM conversations),
+t AS (SELECT *, CASE WHEN arr AND k = 1 AND m > 1 THEN label || '|' || turn WHEN arr THEN '["' || label || '", ' || turn || ']' ELSE label || '-' || turn END AS said FROM c)
+SELECT manifest_id, label, string_agg(said, '|' ORDER BY turn) AS values, CAST(count(*) + count(*) FILTER (WHERE arr AND k = 1 AND m > 1) AS INTEGER) AS n, count(*) > 1 AS multi FROM t GROUP BY 1, 2""",
 }

@@ -138,10 +138,31 @@ def job_retention_producer(spark: SparkSession, d: str) -> DataFrame:
     return got.select("job_id", "state", "kept")
 
 
+def leaf_index_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Leaf indexes where half of all jobs go to one tree."""
+    queue = table(spark, d, "events").selectExpr("event_id", "ts", "CASE WHEN event_id % 2 = 0 THEN 3 ELSE user_id % 8 END AS tree")
+    minted = spark.sql("SELECT id AS tree, id * 100 AS num_minted FROM range(7)")
+    return jobs.leaf_indexes(queue, minted, spread=True).select("event_id", "tree", "leaf_index")
+
+
+def candidates_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Places of candidates by uploader, of which there are few."""
+    found = views.transactions(spark, d).select(F.col("uploader").alias("original_hash"), "tx_id", (F.col("age") % 50).alias("age"))
+    return resolve.in_order(found, spread=True).select(F.col("original_hash").alias("uploader"), "tx_id", "place")
+
+
+def assertion_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every third turn's data is an array, which takes up what follows under its label."""
+    data = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('["'), "role", F.lit('", '), "turn", F.lit("]"))).otherwise(F.concat("role", F.lit("-"), "turn"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("manifest_id"), F.col("turn").alias("pos"), F.col("role").alias("label"), data.alias("data"))
+    got = manifests.group_assertions(rows, mixed=True)
+    return got.select("manifest_id", "label", F.array_join("values", "|").alias("values"), F.size("values").alias("n"), "multi")
+
+
 FLOW_QUERIES = {
     f.__name__: f
     for f in (
         serial_queue, download_bursts, download_counts, root_walk_all, root_thumbnail_all, keyed_media, manifest_bytes, document_store, tag_index, sql_search, sql_purchases, many_matchers, exif_summary, page_requests,
-        single_record, job_retention_producer,
+        single_record, job_retention_producer, leaf_index_spread, candidates_spread, assertion_mix,
     )
 }
