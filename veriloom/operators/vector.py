@@ -20,7 +20,7 @@ def similarities(vectors: DataFrame, media: DataFrame, query: list[float] | Data
     rows = vectors.where("embedding is not null").join(public, "media_id")
     if isinstance(query, DataFrame):
         # One row, else an error when it runs.
-        one = query.agg(F.collect_list("query").alias("q")).select(F.when(F.size("q") == 1, F.col("q")[0]).otherwise(F.raise_error(F.lit("one query vector expected"))).alias("query"))
+        one = query.limit(2).agg(F.collect_list("query").alias("q")).select(F.when(F.size("q") == 1, F.col("q")[0]).otherwise(F.raise_error(F.lit("one query vector expected"))).alias("query"))
         rows = rows.crossJoin(F.broadcast(one.withColumn("norm", dot(F.col("query"), F.col("query")))))
         q: Column = F.col("query")
         squared: Column | None = F.col("norm")
