@@ -1,5 +1,7 @@
 """Pages that don't name their article, that hold unmarked boilerplate, or whose marks mislead."""
 
+import re
+
 import pytest
 
 from veriloom.llm.html_extraction import main_text
@@ -55,3 +57,40 @@ def test_inline_pieces_stand_aside_one_by_one():
 def test_headings_stay_with_something_of_their_section():
     page = f"<body><article><h1>Head</h1>{LINKS}<h2>Part</h2><h3>Sub</h3>{PARAS}<h3>None</h3>{LINKS}<h2>Share</h2><h3>More</h3>{PLAIN}</article></body>"
     assert main_text(page).split("\n") == ["Head", "Part", "Sub", *LONG]
+
+
+MATTER = [
+    "<table><tr><td>alpha</td><td>42</td></tr></table>", "<pre>x = 1</pre>", "<blockquote>Short</blockquote>", "<figure><img src=x><figcaption>A cat</figcaption></figure>", "<dl><dt>term</dt><dd>meaning</dd></dl>",
+    '<section id="menu-design"><p>Menus are designed, so to say.</p></section>', "<p id=banner>Banner text, here.</p>", '<pre>a <em class="token comment">note</em> b</pre>',
+]
+LISTS = ["<ul><li>apples</li><li>pears</li></ul>", '<h2 id="market-share">Market</h2>', '<h2 id="login-flow">Login</h2>', "<h3 class='section-title'>Title</h3>"]
+
+
+@pytest.mark.parametrize("piece", MATTER + LISTS)
+def test_short_parts_of_the_article_stay(piece):
+    """Tables, lists, code, quotes, captions and headings, whose names may hold a word of boilerplate; a list or heading without text after it is none of the article."""
+    said = re.sub("<[^>]*>", " ", piece).split()
+    for page in ("<body><nav><a href=x>Home</a></nav><article>%s</article><footer>f</footer></body>", "<body><div>%s</div></body>"):
+        for at in (3, 6) if piece in MATTER else (3,):
+            got = main_text(page % "".join([*(f"<p>{t}</p>" for t in LONG[:at]), piece, *(f"<p>{t}</p>" for t in LONG[at:])]))
+            assert [t for t in got.split("\n") if t in LONG] == LONG and all(w in got.split() for w in said)
+
+
+def test_a_short_second_part_stays():
+    page = f"<body><div>{PARAS * 3}</div><section><p>A second section, which is short.</p></section></body>"
+    assert main_text(page).endswith("A second section, which is short.")
+
+
+def test_pages_equal_their_articles():
+    """The pages of the table name their articles, so a few lines of regexes read them too."""
+    from html import unescape
+
+    import pyarrow.parquet as pq
+
+    from tests.oracle import DATA
+
+    for html in pq.read_table(f"{DATA}/sf0.1/pages.parquet", columns=["html"])["html"].to_pylist()[:500]:
+        body = re.search("<article>(.*)</article>", html, re.S)[1]
+        body = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", body, flags=re.S)
+        blocks = [" ".join(unescape(re.sub("<(?!br)[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", body)]
+        assert main_text(html) == "\n".join(x for x in blocks if x)

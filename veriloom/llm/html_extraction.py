@@ -30,10 +30,18 @@ ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialo
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottombar cookie cookies consent gdpr notice notification popup modal overlay toolbar newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond skip pagination pager widget".split()
 )
+#: Words that say of what shape a part is; a name that has others too, such as market-share, is no mark.
+SHAPE_WORDS = set("area bar block bottom box btn button buttons col column container content div area form group head heading icon icons inner item items left link links list main outer page panel placeholder post posts right row section site slot small text thread title top unit widgets wrap wrapper".split())
 ROOT_TAGS = ("article", "main")
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose own id is an anchor, and those in which classes say how code is coloured.
+ANCHORED, CODE = HEADINGS | {"p"}, set("pre code kbd samp".split())
+#: What belongs to an article by its kind, short as it may be.
+MATTER = set("table pre blockquote figcaption caption dl".split())
 #: Elements that can hold an article.
 HOLDERS = set("body div article main section td form center".split())
+#: Elements that are a part of the page, not a piece of a list, table or figure.
+PARTS = HOLDERS - {"td"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -43,22 +51,22 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 THRESHOLD = 0.8
 #: Half the width of the smoothing window over the page's blocks.
 SPAN = 1
-#: Prior of a block inside an article or main element, and outside if the page has one.
-INSIDE, OUTSIDE = 2.0, 0.5
-#: The content's element is the deepest with this share of it.
-MOST = 0.9
+#: Prior of a block inside an article or main element, outside if the page has one, and in a part that is marked as standing aside.
+INSIDE, OUTSIDE, MARKED = 2.0, 0.5, 0.1
 
 
 class Page:
-    """A page's text blocks in order, without the parts that stand aside: text, path, and the enclosing element.
+    """A page's text blocks in order, without what is no text of its body: text, path, enclosing element, whether most of it is links, whether it is in a marked part.
 
-    A block's path has the block elements only, and tells blocks that are links from others.
+    A block's path has the block elements only, and tells blocks that are links, or in marked parts, from others.
     """
 
     def __init__(self, html: str):
         self.text: list[str] = []
         self.path: list[int] = []
         self.inside: list[int] = []
+        self.linked: list[bool] = []
+        self.marked: list[bool] = []
         self.parent = [0]
         self.root_tag = [False]
         self.tag_of = ["body"]
@@ -80,7 +88,7 @@ class Page:
             self._parts = []
 
     def _settle(self) -> None:
-        """Drops the pieces that stand aside, one by one, and joins the others to blocks."""
+        """Drops the pieces that stand aside by their element, or inside a block by a mark, and joins the others to blocks."""
         n = len(self.parent)
         # The nearest marked element of each, and whether any stands aside for sure.
         near, gone = [0] * n, [False] * n
@@ -108,19 +116,27 @@ class Page:
                     while e:
                         real.add(e)
                         e = self.parent[e]
-        aside = [False] * n
+        # Gone: by its element, or a marked piece inside a block. Faint: a marked block.
+        faint = [False] * n
+        gone = [False] * n
         for e in range(1, n):
-            aside[e] = aside[self.parent[e]] or self._mark[e] == "" or (bool(self._mark[e]) and e not in real)
+            mark = bool(self._mark[e]) and e not in real
+            gone[e] = gone[self.parent[e]] or self._mark[e] == "" or (mark and self.tag_of[e] not in BLOCK)
+            faint[e] = faint[self.parent[e]] or (mark and self.tag_of[e] in BLOCK)
         for e in range(n):
-            self.root_tag[e] = self.root_tag[e] and not aside[e]
+            self.root_tag[e] = self.root_tag[e] and not gone[e] and not faint[e]
         for path, element, parts in self._blocks:
-            parts = [x for x in parts if not aside[x[1]]]
+            parts = [x for x in parts if not gone[x[1]]]
             text = " ".join("".join([x[0] for x in parts]).split())
             if text:
-                linked = sum(len(x[0]) for x in parts if x[2])
+                linked = 2 * sum(len(x[0]) for x in parts if x[2]) > len(text)
+                for kind, holds in (("a", linked), ("mark", faint[element])):
+                    path = self._paths.setdefault((path, kind), len(self._paths) + 1) if holds else path
                 self.text.append(text)
-                self.path.append(self._paths.setdefault((path, "a"), len(self._paths) + 1) if 2 * linked > len(text) else path)
+                self.path.append(path)
                 self.inside.append(element)
+                self.linked.append(linked)
+                self.marked.append(faint[element])
 
     def _pop(self, n: int) -> None:
         for tag, *_ in self._open[n:]:
@@ -196,8 +212,12 @@ class Page:
             for name, *value in _NAMED.findall(attributes):
                 name, value = name.lower(), "".join(value)
                 if name in ("class", "id"):
-                    words = [w.lower() for w in _WORDS.findall(value)] if tag not in ("html", "body") else []
-                    marks += [w for w in words if w in ASIDE_WORDS and not (inside and w == "header")]
+                    if tag in ("html", "body") or (name == "id" and tag in ANCHORED) or tag in CODE or any(self._count.get(t) for t in CODE):
+                        continue
+                    for one in value.split():
+                        words = [w.lower() for w in _WORDS.findall(one) if not w.isdigit()]
+                        said = [w for w in words if w in ASIDE_WORDS and not (inside and w == "header")]
+                        marks += said if all(w in ASIDE_WORDS or (w in SHAPE_WORDS and tag not in ANCHORED) for w in words) else []
                 elif name == "role":
                     root = root or value.lower() in ROOT_TAGS
                     marks += [value.lower()] if value.lower() in ASIDE_ROLES else []
@@ -232,10 +252,12 @@ def path_scores(length: np.ndarray, marks: np.ndarray, path: np.ndarray) -> tupl
 def main_text(html: str) -> str:
     """The article's blocks, joined by line ends.
 
-    Pieces in menus, headers, footers, sidebars, notices, adverts, forms and comments stand aside; one marked so by a
-    word, role or form alone doesn't if it has most of the page's prose. Of the other blocks the tag paths' ratios tell
-    content: a path is content if its mean score, higher inside article and main elements, reaches the threshold. The
-    result is the content in the deepest element that has most of it, with the headings before it.
+    Scripts, menus, footers, forms' controls and hidden parts aren't text of the body, nor are marked pieces inside a
+    block. Of all other blocks the tag paths' ratios tell content: a path is content if its mean score reaches the
+    threshold, where article and main elements, and marks of notices, adverts, sidebars, comments and such, are priors; a
+    mark doesn't count if its part has most of the page's prose. What lies between content in the same part stays with
+    it, short as it may be, unless it is links or marked; so do tables, code, quotes, captions and definitions inside an
+    article element. Headings stay with something of their section.
     """
     if not html:
         return ""
@@ -245,42 +267,87 @@ def main_text(html: str) -> str:
         return ""
     length = np.array([len(t) for t in page.text], np.float64)
     marks = np.array([len(_PUNCTUATION.findall(t)) for t in page.text], np.float64)
-    path, inside = np.array(page.path), np.array(page.inside)
-    plain, score = path_scores(length, marks, path)
-    least = THRESHOLD * score.std()
+    path, inside, linked, faint = np.array(page.path), np.array(page.inside), np.array(page.linked), np.array(page.marked)
     named = np.array(page.root_tag)
     for e in range(1, len(named)):
         named[e] = named[e] or named[page.parent[e]]
-    has_root = bool(named[inside].any())
-    if has_root:
-        score = score * np.where(named[inside], INSIDE, OUTSIDE)
+    in_root = named[inside]
+    has_root = bool(in_root.any())
+    prior = np.where(faint, MARKED, 1.0) * (np.where(in_root, INSIDE, OUTSIDE) if has_root else 1.0)
+    plain, score = (x * prior for x in path_scores(length, marks, path))
+    least = THRESHOLD * score.std()
     _, at, nodes = np.unique(path, return_inverse=True, return_counts=True)
     content = ((np.bincount(at, score) / nodes)[at] >= least) & (2 * plain >= least)
-    weight, blocks = np.zeros(len(page.parent)), np.zeros(len(page.parent), np.int64)
-    np.add.at(weight, inside, score * length * content)
-    np.add.at(blocks, inside, 1)
-    for e in range(len(weight) - 1, 0, -1):
-        weight[page.parent[e]] += weight[e]
-        blocks[page.parent[e]] += blocks[e]
-    if not weight[0]:
+    if not content.any():
         return ""
-    # Elements come after those that enclose them. A single block is no article that others can be left out for.
-    within = np.zeros(len(weight), bool)
-    holder = max(e for e in range(len(weight)) if weight[e] >= MOST * weight[0] and (not e or (page.tag_of[e] in HOLDERS and blocks[e] > 1)))
-    for e in range(len(weight)):
-        within[e] = e == holder or (e > 0 and within[page.parent[e]])
-    # A heading stays if something of its section does; above the holder if it stands just before what stays.
-    rank = [int(page.tag_of[e][1]) if page.tag_of[e] in HEADINGS else 7 for e in page.inside]
-    keep, held = content & within[inside], 0
+    area = _area(page, content, in_root, has_root)
+    keep = area & (content | ~linked & ~faint & (_between(page, content & area) | _matter(page, content & area, in_root)))
+    # A heading stays if something of its section does; above the article's part if it stands just before what stays.
+    rank, held = [int(page.tag_of[e][1]) if page.tag_of[e] in HEADINGS else 7 for e in page.inside], 0
     for k in range(n - 1, -1, -1):
         if rank[k] < 7:
-            keep[k] = held > rank[k] if within[inside[k]] else not has_root and k + 1 < n and keep[k + 1]
+            keep[k] = not faint[k] and (held > rank[k] if area[k] else not has_root and k + 1 < n and keep[k + 1])
             held = min(held, rank[k])
         elif keep[k]:
             held = 7
     return "\n".join(t for t, kept in zip(page.text, keep, strict=True) if kept)
 
 
+def _area(page: Page, content: np.ndarray, in_root: np.ndarray, has_root: bool) -> np.ndarray:
+    """The blocks among which the article is: those in article elements if any of these is content, else those of the innermost element that holds all content, which must be one that can hold several blocks."""
+    if has_root and (content & in_root).any():
+        return in_root
+    n = len(page.parent)
+    held, blocks = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.add.at(held, page.inside, content)
+    np.add.at(blocks, page.inside, 1)
+    # Elements come after those that enclose them.
+    for e in range(n - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+        blocks[page.parent[e]] += blocks[e]
+    holder = max(e for e in range(n) if held[e] == held[0] and (not e or (page.tag_of[e] in HOLDERS and blocks[e] > 1)))
+    within = np.zeros(n, bool)
+    for e in range(n):
+        within[e] = e == holder or (e > 0 and within[page.parent[e]])
+    return within[page.inside]
+
+
+def _parts(page: Page) -> list[int]:
+    """Of each element the nearest one around it, or itself, that isn't a piece of a list, table or figure."""
+    part = [0] * len(page.parent)
+    for e in range(1, len(part)):
+        part[e] = e if page.tag_of[e] in PARTS else part[page.parent[e]]
+    return part
+
+
+def _between(page: Page, content: np.ndarray) -> np.ndarray:
+    """Blocks with content before and after them in their part."""
+    part, n = _parts(page), len(page.text)
+    first, last = [n] * len(part), [-1] * len(part)
+    for k in np.flatnonzero(content).tolist():
+        e = part[page.inside[k]]
+        first[e], last[e] = min(first[e], k), max(last[e], k)
+    for e in range(len(part) - 1, 0, -1):
+        up = page.parent[e]
+        first[up], last[up] = min(first[up], first[e]), max(last[up], last[e])
+    return np.array([first[part[e]] < k < last[part[e]] for k, e in enumerate(page.inside)], bool)
+
+
+def _matter(page: Page, content: np.ndarray, in_root: np.ndarray) -> np.ndarray:
+    """Blocks of tables, code, quotes and such inside an article element, or beside content in a part; a table around the content is layout."""
+    part, n = _parts(page), len(page.parent)
+    around, beside = [False] * n, {part[page.inside[k]] for k in np.flatnonzero(content).tolist()}
+    for k in np.flatnonzero(content).tolist():
+        around[page.inside[k]] = True
+    for e in range(n - 1, 0, -1):
+        around[page.parent[e]] |= around[e]
+    held, layout = [False] * n, [False] * n
+    for e in range(1, n):
+        own = page.tag_of[e] in MATTER
+        held[e], layout[e] = held[page.parent[e]] or own, layout[page.parent[e]] or (own and around[e])
+    return np.array([held[e] and (bool(in_root[k]) or (part[e] in beside and not layout[e])) for k, e in enumerate(page.inside)], bool)
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Main text of every whole page: page_id, url, text, n_chars (code points). A map over the rows: no shuffle.
 
