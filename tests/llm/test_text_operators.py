@@ -149,6 +149,7 @@ def test_toxicity_on_held_out_documents(spark, odd):
     toxic, clean = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
     assert sum(a > b for a in toxic for b in clean) >= 0.93 * len(toxic) * len(clean)
     assert sum(s >= 0.5 for s in toxic) >= 0.6 * len(toxic) and sum(s >= 0.5 for s in clean) <= 0.02 * len(clean)
+    assert sum(s >= 0.5 for s in toxic) >= 0.8 * len(toxic)
     nothing = toxicity.learn(odd, labels.where("false"))
     out = toxicity.score(odd, nothing).collect()
     assert len(out) == len(ROWS) and {r["predicted"] for r in out} == {0}

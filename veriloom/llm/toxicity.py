@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,75 +15,73 @@ from .common import emit, fold, in_batches, text_batches, texts_of
 
 #: Positive and unlabelled documents that training uses at most, about; picked by the hash of the id.
 POSITIVES, UNLABELLED = 4000, 16000
-#: Words that are features: those that positives have most beyond chance.
-FEATURES = 150
+#: Words that are features, a bound on the model's size: those that positives have most beyond chance.
+FEATURES = 1000
 #: Lengths of the beginnings of words that are features too; words whose parts a worker keeps at most.
 BEGINNINGS, CACHE_WORDS = (3, 4, 5, 6, 7), 100_000
 #: A word is a feature only if at least so many positive documents have it.
 LEAST_DOCUMENTS = 5
-EPOCHS, STEP, DECAY, SEED = 60, 0.05, 1e-3, 7
+STEPS, STEP, DECAY = 600, 0.05, 5e-5
 #: Where the estimated risk of the negatives falls below -SLACK, the step reverses it (non-negative risk).
 SLACK = 0.0
 
 _WORD = re.compile(r"\w+")
 
 
-@lru_cache(CACHE_WORDS)
-def parts_of(word: str) -> tuple[str, ...]:
-    """The word itself and its beginnings, which stand for its inflected and compound forms."""
-    return (word, *[f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n])
+class Parts(dict):
+    """Of each word the word itself and its beginnings, which stand for its inflected and compound forms; kept for CACHE_WORDS words."""
 
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        out = (word, *[f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n])
+        if len(self) < CACHE_WORDS:
+            self[word] = out
+        return out
 
-def distinct_words(text: str) -> set[str]:
+
+def distinct_words(text: str, parts: Parts) -> set[str]:
     """The words of a text and their beginnings."""
-    return set(chain.from_iterable(map(parts_of, set(_WORD.findall(text.lower())))))
+    return set(chain.from_iterable(map(parts.__getitem__, set(_WORD.findall(text.lower())))))
 
 
-def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier over the presence of features, from positive and unlabelled rows.
+class Risk:
+    """The estimated risk of a linear classifier over the presence of features, from positive and unlabelled rows.
 
-    With logistic losses l+ and l-, the risk is prior * P[l+] + max(0, U[l-] - prior * P[l-]): unlabelled rows count as
-    negatives, corrected by the share `prior` of positives among them. Mini-batches with Adam.
+    With losses l+ = 1 - s and l- = s of the classifier's probability s, bounded so that no row outweighs the others, it
+    is prior * P[l+] + max(0, U[l-] - prior * P[l-]): unlabelled rows count as negatives, corrected by the share `prior`
+    of positives among them.
     """
-    rng = np.random.default_rng(SEED)
-    length = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    start = np.cumsum(length) - length
-    w, b = np.zeros(n_features + 1), 0.0
-    pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    if not len(pos) or not len(unl):
-        return w[:-1], -30.0
-    b = float(np.log(prior / (1 - prior)))
-    params = np.append(w[:-1], b)
-    m, v, t = np.zeros_like(params), np.zeros_like(params), 0
-    steps = max(1, min(40, len(unl) // 256))
-
-    def gather(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.repeat(start[ids] - (np.cumsum(length[ids]) - length[ids]), length[ids]) + np.arange(length[ids].sum())
-        return np.repeat(np.arange(len(ids)), length[ids]), flat[at]
-
-    def slopes(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        row, col = gather(ids)
-        return np.append(np.bincount(col, weight[row], minlength=n_features), weight.sum())
-
-    def margin(ids: np.ndarray) -> np.ndarray:
-        row, col = gather(ids)
-        return np.bincount(row, params[:-1][col], minlength=len(ids)) + params[-1]
-
-    for _ in range(EPOCHS):
-        p_order, u_order = rng.permutation(pos), rng.permutation(unl)
-        for p, u in zip(np.array_split(p_order, steps), np.array_split(u_order, steps), strict=True):
-            if not len(p) or not len(u):
-                continue
-            sp, su = 1 / (1 + np.exp(-np.clip(margin(p), -50, 50))), 1 / (1 + np.exp(-np.clip(margin(u), -50, 50)))
-            # Logistic losses: l+ = -log s, l- = -log(1 - s), with slopes s - 1 and s.
-            negative = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-            rest = slopes(u, su / len(u)) - prior * slopes(p, sp / len(p))
-            slope = prior * slopes(p, (sp - 1) / len(p)) + rest if negative >= -SLACK else -rest
-            slope[:-1] += DECAY * params[:-1]
-            t += 1
-            m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-            params -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+    def __init__(self, rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float):
+        self.flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.n, self.n_features, self.prior = len(rows), n_features, prior
+        # A row's weight in P if it is positive, in U if it isn't.
+        self.p, self.u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
+
+    def at(self, params: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """prior * P[l+], the rest before it is cut at 0, and the slopes of both."""
+        margin = np.bincount(self.row, params[:-1][self.flat], minlength=self.n) + params[-1]
+        s = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+        rest = self.u - self.prior * self.p
+        return self.prior * float(self.p @ (1 - s)), float(rest @ s), self._slope(-self.prior * self.p * s * (1 - s)), self._slope(rest * s * (1 - s))
+
+    def _slope(self, by_row: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.flat, by_row[self.row], minlength=self.n_features), by_row.sum())
+
+
+def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias that make the risk small: steps over all rows (Adam), since a few positives in a part of them would make its estimate negative by chance."""
+    if positive.all() or not positive.any():
+        return np.zeros(n_features), -30.0
+    risk = Risk(rows, positive, n_features, prior)
+    params = np.append(np.zeros(n_features), np.log(prior / (1 - prior)))
+    m, v = np.zeros_like(params), np.zeros_like(params)
+    for t in range(1, STEPS + 1):
+        _, negative, up, down = risk.at(params)
+        slope = up + down if negative >= -SLACK else -down
+        slope[:-1] += DECAY * params[:-1]
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        params -= STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return params[:-1], float(params[-1])
 
 
@@ -94,22 +91,23 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        get = self.weights.get
-        known = self.weights.keys()
-        out = np.array([sum(map(get, known & distinct_words(t))) for t in texts]) + self.bias
+    def scores(self, texts: list[str], parts: Parts) -> np.ndarray:
+        get, known = self.weights.get, self.weights.keys()
+        # In one order, so that sums agree between processes.
+        out = np.array([sum(map(get, sorted(known & distinct_words(t, parts)))) for t in texts]) + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
 def _presence(sample: DataFrame) -> DataFrame:
-    """word, p, u: how many positive and unlabelled documents have a word."""
+    """word, p, u: how many positive and unlabelled documents have a word; all have the empty one."""
     schema = pa.schema([("word", pa.string()), ("p", pa.int64()), ("u", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts()
         for batch in text_batches(batches, "text"):
             counts: dict[str, list[int]] = {}
             for t, positive in zip(texts_of(batch, "text"), batch.column(1).to_pylist(), strict=True):
-                for word in distinct_words(t):
+                for word in ("", *distinct_words(t, parts)):
                     counts.setdefault(word, [0, 0])[0 if positive else 1] += 1
             yield emit(schema, word=list(counts), p=[x for x, _ in counts.values()], u=[x for _, x in counts.values()])
 
@@ -121,9 +119,9 @@ def _features(sample: DataFrame, words: list[str]) -> DataFrame:
     schema = pa.schema([("positive", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: k for k, w in enumerate(words)}
+        place, parts = {w: k for k, w in enumerate(words)}, Parts()
         for batch in text_batches(batches, "text"):
-            ids = [sorted(place[w] for w in place.keys() & distinct_words(t)) for t in texts_of(batch, "text")]
+            ids = [sorted(place[w] for w in place.keys() & distinct_words(t, parts)) for t in texts_of(batch, "text")]
             yield emit(schema, positive=batch.column(1), ids=ids)
 
     return in_batches(sample, run, "positive boolean, ids array<int>")
@@ -154,11 +152,12 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     chosen_u = others.select("text", F.lit(False).alias("positive"))
     sample = chosen_p.union(chosen_u)
     counts = _presence(sample)
-    seen = counts.where(F.col("p") >= LEAST_DOCUMENTS)
+    drawn = F.broadcast(counts.where("word = ''").select(F.col("p").alias("all_p"), F.col("u").alias("all_u")))  # one row
+    seen = counts.where((F.col("p") >= LEAST_DOCUMENTS) & (F.col("word") != "")).crossJoin(drawn)
     # How far the positives that have a word exceed what the unlabelled share gives, in standard deviations.
-    due = F.col("u") * (min(n["toxic"], positives) / max(1, min(unlabelled, total)))
+    due = F.col("u") * F.col("all_p") / F.greatest("all_u", F.lit(1))
     tell = (F.col("p") - due) / F.sqrt(due + 1)
-    words = [r["word"] for r in seen.orderBy(tell.desc(), "word").limit(features).collect()]
+    words = [r["word"] for r in seen.orderBy(tell.desc(), "word").limit(features).collect()]  # at most `features`
     got = _features(sample, words).toArrow()
     rows = [np.asarray(x, np.int64) for x in got["ids"].to_pylist()]
     positive = got["positive"].to_numpy()
@@ -172,16 +171,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Toxicity of every whole text: doc_id, score (0 to 1), predicted (1 from a score of 0.5 on). A map over the rows; the model has a bounded size.
 
     Null and empty texts have the model's bias alone; a null id stays null; repeated rows each have a row; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; a very long text is scored whole, in a batch of its own; other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast({"weights": model.weights, "bias": model.bias})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(**shared.value)
+        own, parts = Model(**shared.value), Parts()
         for batch in text_batches(batches, "text"):
-            s = own.scores(texts_of(batch, "text"))
+            s = own.scores(texts_of(batch, "text"), parts)
             yield emit(schema, doc_id=batch.column(0), score=s, predicted=(s >= 0.5).astype(np.int32))
 
     return in_batches(src, run, "doc_id long, score double, predicted int")
