@@ -191,7 +191,24 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if q < Q:
         data = np.concatenate([data, np.zeros(Q - q, np.uint8)])
-    return np.ndarray((n,), "<u8", np.ascontiguousarray(data), 0, (1,)) & np.uint64((1 << 8 * q) - 1)
+    gram = np.ndarray((n,), "<u8", np.ascontiguousarray(data), 0, (1,)) & np.uint64((1 << 8 * q) - 1)
+    return _unturned(gram) if q == Q else gram
+
+
+def _unturned(gram: np.ndarray) -> np.ndarray:
+    """The grams, but of those that repeat a shorter text the least of its turns: periodic text has one gram all along, so it counts as a run. Equal grams stay equal."""
+    out, left = gram, np.arange(len(gram))
+    for p in range(1, Q):
+        g = gram[left]
+        again = (g ^ (g >> np.uint64(8 * p))) & np.uint64((1 << 8 * (Q - p)) - 1) == 0
+        if again.any():
+            out = out.copy() if out is gram else out
+            one, own = g[again] & np.uint64((1 << 8 * p) - 1), left[again]
+            turns = [(one >> np.uint64(8 * r) | one << np.uint64(8 * (p - r))) & np.uint64((1 << 8 * p) - 1) for r in range(p)]
+            least = np.minimum.reduce(turns)
+            out[own] = np.bitwise_or.reduce([least << np.uint64(8 * k) for k in range(0, Q, p)])
+            left = left[~again]
+    return out
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
