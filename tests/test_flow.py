@@ -42,6 +42,23 @@ def test_matchers_by_the_hundred_thousand(spark):
     assert got.where("spec_id = concat('s', id)").count() == rows.where("id % 10 <> 0").count()
 
 
+def test_equal_matchers_are_keyed_once(spark):
+    """Copies of a matcher count as its first spec; runs are taken of distinct matchers, and no task sorts the runs to find the rarest."""
+    specs = spark.range(30_000).selectExpr("concat('s', id) AS spec_id", "(id * 7919) % 30000 AS place", "IF(id % 10 = 0, concat('^by maker ', id % 30, '.*ltd$'), concat('maker ', id % 300, ' inc')) AS matcher", "IF(id % 10 = 0, true, IF(id % 2 = 0, false, null)) AS is_regex")
+    rows = spark.range(400).selectExpr("id", "concat('by maker ', id, IF(id % 2 = 0, ' inc', ' ltd')) AS issuer")
+    got = manifests.match_spec(rows, specs)
+    first = {}
+    for r in sorted(specs.collect(), key=lambda r: r["place"]):
+        first.setdefault((r["matcher"], bool(r["is_regex"])), (r["place"], r["spec_id"]))
+    want = {r["id"]: min((p for (m, regex), p in first.items() if (re.search(m, r["issuer"]) if regex else m in r["issuer"])), default=(0, None))[1] for r in rows.collect()}
+    assert {r["id"]: r["spec_id"] for r in got.collect()} == want and None in want.values() and len(set(want.values())) > 100
+    lines = plan(got).split("== Initial Plan ==")[-1].splitlines()
+    at = [k for k, line in enumerate(lines) if "explode(" in line and "matcher" in line]
+    assert at and all(any("Aggregate" in below and "min_by(spec_id" in below for below in lines[k + 1 : k + 9]) for k in at)
+    rarest = [line for line in lines if "min_by(gram" in line]
+    assert rarest and all("HashAggregate" in line for line in rarest)
+
+
 def test_postings(spark, tmp_path):
     tag = "array<struct<name:string,value:string>>"
     rows = [(f"t{k:03}", k // 2, [("App", "x"), ("App", "x"), ("Hash", str(k % 3)), (None, None)][: 2 + k % 3]) for k in range(60)] + [("none", 0, None), ("empty", 0, [])]

@@ -118,10 +118,20 @@ def group_assertions(assertions: DataFrame, key: str = "manifest_id", mixed: boo
     return held.select(key, "label", values.alias("values"), multi.alias("multi"))
 
 
+def _runs(text: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.substring(text, k, F.lit(n)))
+
+
 def _grams(text: Column) -> Column:
-    """The distinct runs of three characters, and shorter ones, of a text."""
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.substring(text, k, F.lit(n)))
-    return F.array_distinct(F.concat(*[F.when(F.length(text) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    """Hashes of the distinct runs of three characters, and shorter ones, of a text."""
+    runs = F.concat(*[F.when(F.length(text) >= n, _runs(text, n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
+
+
+def _needed_grams(text: Column) -> Column:
+    """Hashes of the distinct runs of three characters of a text, or of the whole of a shorter one. No part of a run is rarer than the run."""
+    runs = F.when(F.length(text) >= 3, _runs(text, 3)).otherwise(F.array(text))
+    return F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))
 
 
 def _mandatory(matcher: Column, is_regex: Column) -> Column:
@@ -140,8 +150,9 @@ def match_spec(rows: DataFrame, specs: DataFrame, issuer: str = "issuer") -> Dat
     """rows with spec_id: the first spec, by place, whose matcher the issuer holds (or that its regex finds); null if none.
 
     specs: spec_id, place, matcher, is_regex. The distinct issuers are matched, not the rows. Up to FEW_SPECS are held
-    against each issuer. Beyond that every matcher is keyed by one run of three characters (or fewer) that it needs, the one that
-    fewest matchers have; issuers meet only the matchers whose key they hold, by an equi-join, and those are verified.
+    against each issuer. Beyond that equal matchers are one, with the first spec's place, and every matcher is keyed by
+    the hash of one run of three characters (or fewer) that it needs, the one that fewest matchers have; issuers meet only
+    the matchers whose key they hold, by an equi-join, and those are verified.
     Regexes that need no such run, and empty matchers, are still held against all issuers: keep those few.
     """
     names = rows.select(F.col(issuer).alias("name")).where("name is not null").distinct()
@@ -149,10 +160,12 @@ def match_spec(rows: DataFrame, specs: DataFrame, issuer: str = "issuer") -> Dat
     if specs.limit(FEW_SPECS + 1).count() <= FEW_SPECS:
         found = names.join(F.broadcast(specs), hit)  # FEW_SPECS matchers of hand-kept length
     else:
-        needs = specs.withColumn("need", F.nullif(_mandatory(F.col("matcher"), F.coalesce("is_regex", F.lit(False))), F.lit("")))
-        keys = needs.where("need IS NOT NULL").select("spec_id", "place", "matcher", "is_regex", F.explode(_grams(F.col("need"))).alias("gram"))
+        one = specs.groupBy("matcher", F.coalesce("is_regex", F.lit(False)).alias("is_regex")).agg(F.min_by("spec_id", "place").alias("spec_id"), F.min("place").alias("place"))
+        needs = one.withColumn("need", F.nullif(_mandatory(F.col("matcher"), F.col("is_regex")), F.lit("")))
+        keys = needs.where("need IS NOT NULL").select("spec_id", "place", "matcher", "is_regex", F.explode(_needed_grams(F.col("need"))).alias("gram"))
         shared = keys.groupBy("gram").agg(F.count("*").alias("specs"))
-        rarest = keys.join(shared, "gram").groupBy("spec_id", "place", "matcher", "is_regex").agg(F.min_by("gram", F.struct("specs", -F.length("gram"), "gram")).alias("gram"))
+        # Both sides of min_by are longs, so that this is a hash aggregate: a task holds its matchers, not their runs.
+        rarest = keys.join(shared, "gram").groupBy("spec_id", "place", "matcher", "is_regex").agg(F.min_by("gram", "specs").alias("gram"))
         found = names.select("name", F.explode(_grams(F.col("name"))).alias("gram")).join(rarest, "gram").where(hit).select("name", "spec_id", "place")
         rest = needs.where("need IS NULL")
         if not rest.isEmpty():
