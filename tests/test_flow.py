@@ -3,14 +3,18 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from veriloom.operators import catalog, manifests, merge, resolve
+from veriloom.operators.keyed import KeyedTable
 from veriloom.plans import sql_objects
+from veriloom.plans.flow_oracles import FLOW_ORACLES
+from veriloom.plans.flow_queries import FLOW_QUERIES
 from veriloom.sources import store, views
 
-from .oracle import DATA
+from .oracle import DATA, rows
 
 
 def plan(df):
@@ -97,6 +101,34 @@ def test_documents_are_written_once(spark, tmp_path):
     assert sorted((r["original_hash"], r["manifest"]["body"]) for r in files.collect()) == [("h1", "one"), ("h2", "new")]
 
 
+def test_document_store_has_as_many_files_as_buckets(spark, tmp_path, monkeypatch):
+    """Hundreds of documents, some records without one and some with equal texts, and a table without records."""
+    monkeypatch.setattr(store, "new_path", lambda spark, label: f"{tmp_path}/{label}")
+    docs = spark.range(0, 6000, 10).selectExpr("id AS doc_id", "concat('text ', id % 5000) AS text")
+    docs.write.parquet(str(tmp_path / "in/documents.parquet"))
+    got = FLOW_QUERIES["document_store"](spark, str(tmp_path / "in")).toPandas()
+    files = [f for f in (tmp_path / "documents").rglob("part-*") if f.suffix in (".json", ".parquet")]
+    assert 0 < len(files) <= 64
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/in/documents.parquet/*.parquet'")
+    want = con.sql(FLOW_ORACLES["document_store"]).df()
+    assert len(got) == 500 and got["name"].notna().sum() == 333 and rows(got) == rows(want)
+    monkeypatch.setattr(store, "new_path", lambda spark, label: f"{tmp_path}/none/{label}")
+    docs.where("doc_id < 0").write.parquet(str(tmp_path / "no/documents.parquet"))
+    assert FLOW_QUERIES["document_store"](spark, str(tmp_path / "no")).count() == 0
+
+
+def test_documents_in_buckets(spark, tmp_path):
+    """A document written again is there once, others stay, and broken ones hurt no other."""
+    kind = "original_hash string, body string"
+    held = KeyedTable.create(spark.createDataFrame([("h1", '{"name": "one"}'), ("h2", '{"name": "two"}'), ("h3", '{"name"'), ("h4", '[{"name": "four"}]')], kind), str(tmp_path / "d"), "original_hash", buckets=2)
+    for _ in range(2):
+        held.upsert(spark.createDataFrame([("h2", '{"name": "new"}'), ("h5", "{}")], kind), ["body"], F.current_timestamp())
+    got = views.manifest_texts(held.read().select("original_hash", F.col("body").alias("value")), "name STRING")
+    want = [("h1", ("one",), False), ("h2", ("new",), False), ("h3", None, True), ("h4", None, True), ("h5", (None,), False)]
+    assert sorted((r["original_hash"], r["manifest"] and tuple(r["manifest"]), r["broken"]) for r in got.collect()) == want
+
+
 def test_one_row_as_a_plan(spark):
     assert catalog.one_row(spark.range(1)).head()["id"] == 0 and catalog.one_row(spark.range(0), optional=True).count() == 0
     for df, optional in ((spark.range(0), False), (spark.range(2), False), (spark.range(2), True)):

@@ -25,10 +25,14 @@ def manifest_files(spark: SparkSession, path: str, fields: str, key: str = r"/me
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     at = F.col("_metadata.file_path")
     rows = files.select(F.url_decode(F.regexp_replace(F.regexp_extract(at, key, 1), "[+]", "%2B")).alias("original_hash"), at.alias("at"), F.col("value")).where("original_hash <> ''")
+    return manifest_texts(rows.groupBy("original_hash").agg(F.min_by("value", "at").alias("value")), fields)
+
+
+def manifest_texts(rows: DataFrame, fields: str) -> DataFrame:
+    """original_hash, manifest (a struct of these DDL fields), broken: manifests out of their texts. rows: original_hash, value; one row a hash. A text that isn't a JSON object is broken and its manifest null."""
     parsed = F.from_json("value", f"{fields}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
     good = F.trim(F.col("value"), F.lit(" \n\r\t")).startswith("{") & F.col("m").isNotNull() & F.col("m._broken").isNull()
-    first = rows.groupBy("original_hash").agg(F.min_by("value", "at").alias("value")).withColumn("m", parsed)
-    return first.select("original_hash", F.when(good, F.col("m").dropFields("_broken")).alias("manifest"), (~F.coalesce(good, F.lit(False))).alias("broken"))
+    return rows.withColumn("m", parsed).select("original_hash", F.when(good, F.col("m").dropFields("_broken")).alias("manifest"), (~F.coalesce(good, F.lit(False))).alias("broken"))
 
 
 def with_manifests(records: DataFrame, files: DataFrame) -> DataFrame:
